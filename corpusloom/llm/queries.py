@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import boilerplate, errorpages, leakage, lines, names, neardup, residue
+from corpusloom.llm import boilerplate, errorpages, leakage, lines, names, neardup, packing, pii, residue
 from corpusloom.llm.pages import cache_pages, html_pages, markdown_pages
 from corpusloom.session import load
 
@@ -71,6 +71,20 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(load(spark, d, "documents"), load(spark, d, "benchmark")).select("doc_id", "item_id")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in a container of 4096 tokens, whole unless it alone exceeds that."""
+    return packing.pack(packing.token_sizes(load(spark, d, "documents")), 4096)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_data(load(spark, d, "documents"))
+
+
+def p10_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders in the place of its mentions."""
+    return pii.personal_data(load(spark, d, "documents"), redact=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
