@@ -241,10 +241,10 @@ def markdown_blocks(source: str) -> list[Block]:
     for b in blocks:
         if b.code:
             continue
-        plain = _MDLINK.sub(lambda m: m.group(1), b.text)
-        b.link = sum(len(m.group(1)) for m in _MDLINK.finditer(b.text))
-        b.prose = _CODE.sub(" ", b.text)
-        b.text = plain
+        b.prose = _CODE.sub(" ", b.text) if "`" in b.text else b.text
+        if "](" in b.text:
+            b.link = sum(len(m.group(1)) for m in _MDLINK.finditer(b.text))
+            b.text = _MDLINK.sub(lambda m: m.group(1), b.text)
     return blocks
 
 

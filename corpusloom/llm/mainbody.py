@@ -23,12 +23,14 @@ def block_keys(b: Block, host: str) -> list[int]:
     """Keys of a block for the repetition counts: its whole text, and the lead-in of a label such as `See also: ...`."""
     if b.code or b.tag in ("td", "pre") or not b.text or b.link >= 0.85 * len(b.text):
         return []
+    if b.text.count(" ") > 2 * MAX_LINE_WORDS:  # sure to hold more words
+        return []
     text = key_text(b.text, host)
     if not text or text.count(" ") >= MAX_LINE_WORDS:
         return []
     b.key = key_hash(text)
     keys = [b.key]
-    if b.tag in ("p", "quote", "text") and not _END.search(b.text) and (m := _PREFIX.match(b.text)):
+    if b.tag in ("p", "quote", "text") and not _END.search(b.text[-24:]) and (m := _PREFIX.match(b.text)):
         keys.append(key_hash(key_text(m.group(1), host) + " :"))
     return keys
 
@@ -131,13 +133,13 @@ def structure(blocks: list[Block], boxes: list[tuple[str, int]], kind: str, host
                 pass
             elif b.tag not in _HEADS and b.link >= 0.85 * size:
                 hide = True
-            elif b.tag in ("p", "text", "quote") and (b.link >= 0.5 * size and not _END.search(text) or _CRUMB.match(text) or _BAR.match(text)):
+            elif b.tag in ("p", "text", "quote") and (b.link >= 0.5 * size and not _END.search(text[-24:]) or _CRUMB.match(text) or _BAR.match(text)):
                 hide = True
             elif b.tag in ("p", "text") and first is not None and i == first + 1 and text.count(" ") < 14 and "\n" not in text and (
-                not _END.search(text) or _INITIAL.search(text) or b.attr or text.count(" ") < 6 and (_BYLINE.match(text) or kind == "markdown" and b.text[:1] == "*" == b.text[-1:])
+                not _END.search(text[-24:]) or _INITIAL.search(text) or b.attr or text.count(" ") < 6 and (_BYLINE.match(text) or kind == "markdown" and b.text[:1] == "*" == b.text[-1:])
             ):
                 hide = True
-            elif b.tag == "p" and b.attr and text.count(" ") < 14 and not _END.search(text):
+            elif b.tag == "p" and b.attr and text.count(" ") < 14 and not _END.search(text[-24:]):
                 hide = True
         out.append((flags | (HIDE if hide else 0), k1, k2))
     return out

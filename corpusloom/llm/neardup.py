@@ -2,39 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusloom.llm.blocks import squeeze_host, words_of
-from corpusloom.llm.boilerplate import page_layouts
+from corpusloom.llm.blocks import is_html, squeeze_host
 from corpusloom.llm.hostlines import repeated_keys, with_sets
-from corpusloom.llm.mainbody import main_blocks
+from corpusloom.llm.leakage import window_keys, word_hashes
+from corpusloom.llm.mainbody import HIDE, finish, parse, structure, title_key
 from corpusloom.llm.pages import page_source
 from corpusloom.operators.arrow import map_rows
-from corpusloom.session import materialize
+from corpusloom.session import BROADCAST_LIMIT, materialize
 
-#: Registers of a signature and rows of a band: a pair of Jaccard 0.6 shares a band with probability 0.996, one of 0.8 with 1 - 1e-9.
-REGISTERS, ROWS = 160, 4
+#: Registers of a signature and rows of a band: a pair of Jaccard 0.6 shares a band with probability 0.988, of 0.7 with 0.9999, of 0.8 with 1 - 5e-8.
+REGISTERS, ROWS = 128, 4
 #: Mantissa bits kept beside the leading-zero count of a register.
 MANTISSA = 10
 _rng = np.random.default_rng(20240229)
-_A = _rng.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) | np.uint64(1)
-_B = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 
 
-def shingle_hashes(words: list[str], width: int) -> np.ndarray:
-    """Distinct 32-bit hashes of the runs of width words, sorted."""
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Distinct 32-bit hashes of the runs of width words, sorted; words: their 32-bit hashes."""
     if len(words) < width:
         return np.empty(0, np.uint32)
-    h = np.fromiter((xxhash.xxh32_intdigest(" ".join(words[i : i + width])) for i in range(len(words) - width + 1)), np.uint32, len(words) - width + 1)
-    return np.unique(h)
+    return np.unique((window_keys(words.astype(np.uint64), width) >> np.uint64(32)).astype(np.uint32))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -42,18 +36,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
     Each bucket has its own permutation, so that short texts leave none empty.
     """
-    x = shingles.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(16))) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    least = np.empty(REGISTERS, np.uint64)
-    for lo in range(0, REGISTERS, 32):
-        y = x[None, :] * _A[lo : lo + 32, None] + _B[lo : lo + 32, None]
-        y ^= y >> np.uint64(32)
-        y *= np.uint64(0xD6E8FEB86659FD93)
-        least[lo : lo + 32] = y.min(axis=1)
-    lead = 63 - np.floor(np.log2(np.maximum(least, 1).astype(np.float64))).astype(np.int64)
-    lead = np.clip(lead, 0, 63)
-    mant = ((least << (lead + 1).clip(0, 63).astype(np.uint64)) >> np.uint64(64 - MANTISSA)).astype(np.uint64)
+    x = shingles ^ (shingles >> np.uint32(15))
+    y = x[None, :] * _A[:, None]
+    y += _B[:, None]
+    y ^= y >> np.uint32(16)
+    y *= np.uint32(0x85EBCA6B)
+    least = y.min(axis=1).astype(np.uint64)
+    lead = np.clip(31 - np.floor(np.log2(np.maximum(least, 1).astype(np.float64))).astype(np.int64), 0, 31)
+    mant = ((least << (lead + 1).astype(np.uint64)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - MANTISSA)
     return ((lead.astype(np.uint64) << np.uint64(MANTISSA)) | mant).astype(np.uint16)
 
 
@@ -72,64 +62,43 @@ def _bands(sig: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(sig[i : i + ROWS].tobytes(), seed=i) - (1 << 63) for i in range(0, REGISTERS, ROWS)]
 
 
-def page_bodies(pages: DataFrame, width: int, min_words: int) -> DataFrame:
-    """(kind, id, body, n, shingles): main bodies as sorted shingle hashes; pages without one and short bodies are left out.
+_WORDS = "kind string, id long, host string, title long, keys array<long>, flags array<int>, k1 array<long>, k2 array<long>, counts array<int>, words binary"
 
-    body is the key of the word sequence; rows delivered twice count once.
-    """
-    layouts = materialize(page_layouts(pages).select("kind", "host", "title", "keys"))
-    joined = with_sets(pages.select("kind", "id", "host", "source"), repeated_keys(layouts))
 
-    def one(kind, rid, host, source, freq):  # noqa: ANN001, ANN202
+def page_words(pages: DataFrame) -> DataFrame:
+    """Each page as its blocks' flags and keys and 32-bit hashes of their words: the only pass over the sources."""
+
+    def one(kind, rid, host, source):  # noqa: ANN001, ANN202
         form, text = page_source(kind, source)
-        _, blocks = main_blocks(text, form, squeeze_host(host), set(freq or ()))
-        words = [w for b in blocks if not b.hide and b.text for w in words_of(b.text)]
-        if len(words) < max(min_words, width):
+        if not text or form == "html" and not is_html(text):
             return []
-        s = shingle_hashes(words, width)
-        return [(kind, rid, xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63), len(s), s.tobytes())]
+        h = squeeze_host(host)
+        _, blocks, boxes = parse(text, form)
+        rows = structure(blocks, boxes, form, h)
+        words, at = word_hashes(["" if f & HIDE else b.text for b, (f, _, _) in zip(blocks, rows)])
+        counts = np.bincount(at, minlength=len(blocks)).tolist() if len(at) else [0] * len(blocks)
+        return [(kind, rid, host, title_key(blocks, h), list({k for _, *ks in rows for k in ks if k}), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], counts, words.astype(np.uint32).tobytes())]
 
-    return map_rows(joined.select("kind", "id", "host", "source", "freq"), "kind string, id long, body long, n int, shingles binary", one)
+    return map_rows(pages.select("kind", "id", "host", "source"), _WORDS, one)
 
 
-def _banded(reps: DataFrame) -> DataFrame:
-    st = T._parse_datatype_string("kind string, body long, bands array<long>")
-    arrow = to_arrow_schema(st)
+def _body(kind: str, flags: list[int], k1: list[int], k2: list[int], counts: list[int], words: bytes, freq: list[int] | None) -> np.ndarray:
+    hide = finish(list(zip(flags, k1, k2)), set(freq or ()), "markdown" if kind == "markdown" else "html")
+    return np.frombuffer(words, np.uint32)[np.repeat(~np.array(hide, np.bool_), counts)] if counts else np.empty(0, np.uint32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bands = [_bands(signature(np.frombuffer(s, np.uint32))) for s in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bands, pa.list_(pa.int64()))], schema=arrow)
 
-    return reps.select("kind", "body", "shingles").mapInArrow(run, st)
-
-
-def similar_bodies(reps: DataFrame, threshold: float) -> DataFrame:
-    """(kind, a, b, jaccard): pairs of different bodies with a < b of at least the threshold, from reps (kind, body, n, shingles), one row a body."""
-    reps = materialize(reps)
-    bands = _banded(reps).select("kind", "body", F.posexplode("bands").alias("band", "h"))
-    # a bucket of one body makes no pair; what is left is a small part of the rows
-    shared = bands.groupBy("kind", "band", "h").agg(F.count("*").alias("c")).where("c > 1").select("kind", "band", "h")
-    b = bands.join(shared, ["kind", "band", "h"], "left_semi")
-    x, y = b.alias("x"), b.alias("y")
-    pairs = x.join(y, (F.col("x.kind") == F.col("y.kind")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.body") < F.col("y.body")))
-    pairs = pairs.select(F.col("x.kind").alias("kind"), F.col("x.body").alias("a"), F.col("y.body").alias("b")).distinct()
-    left = reps.select("kind", F.col("body").alias("a"), F.col("shingles").alias("sa"))
-    right = reps.select("kind", F.col("body").alias("b"), F.col("shingles").alias("sb"))
-    full = pairs.join(left, ["kind", "a"]).join(right, ["kind", "b"])
-    slack = 4 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+_COLS = ("kind", "id", "flags", "k1", "k2", "counts", "words", "freq")
 
-    def one(kind, a, b, sa, sb):  # noqa: ANN001, ANN202
-        x, y = np.frombuffer(sa, np.uint32), np.frombuffer(sb, np.uint32)
-        if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-            return []
-        if estimate(signature(x), signature(y), len(x), len(y)) < threshold - slack:
-            return []
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        j = both / (len(x) + len(y) - both)
-        return [(kind, a, b, j)] if j >= threshold else []
 
-    return map_rows(full.select("kind", "a", "b", "sa", "sb"), "kind string, a long, b long, jaccard double", one)
+def _candidates(reps: DataFrame) -> DataFrame:
+    """(kind, a, b): bodies with a < b that share a band. Buckets of one body make no pair; the bands are shuffled once."""
+    b = reps.select("kind", "body", F.explode("bands").alias("h")).repartition("kind", "h")
+    n = b.groupBy("kind", "h").agg(F.count("*").alias("c"), F.min("body").alias("a"), F.max("body").alias("b")).where("c > 1 and a < b")
+    two = n.where("c = 2").select("kind", "a", "b")
+    more = b.join(n.where("c > 2").select("kind", "h"), ["kind", "h"], "left_semi")
+    x, y = more.alias("x"), more.alias("y")
+    many = x.join(y, (F.col("x.kind") == F.col("y.kind")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.body") < F.col("y.body"))).select(F.col("x.kind").alias("kind"), F.col("x.body").alias("a"), F.col("y.body").alias("b"))
+    return two.unionByName(many).distinct()
 
 
 def near_duplicates(pages: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 40) -> tuple[DataFrame, DataFrame]:
@@ -138,10 +107,43 @@ def near_duplicates(pages: DataFrame, threshold: float = 0.8, width: int = 5, mi
     Copies of one body are one class and are never paired with each other, however many there are. Links are symmetric
     and listed with a < b. Records without a body of min_words words are in neither; an empty table gives empty results.
     """
-    bodies = materialize(page_bodies(pages, width, min_words).dropDuplicates(["kind", "id"]))
+    words = materialize(page_words(pages))
+    known = with_sets(words.drop("keys"), repeated_keys(words.select("kind", "host", "title", "keys"))).select(*_COLS)
+
+    def signed(kind, rid, *rest):  # noqa: ANN001, ANN202
+        w = _body(kind, *rest)
+        if len(w) < max(min_words, width):
+            return []
+        return [(kind, rid, xxhash.xxh64_intdigest(w.tobytes()) - (1 << 63), _bands(signature(shingle_hashes(w, width))))]
+
+    bodies = materialize(map_rows(known, "kind string, id long, body long, bands array<long>", signed).dropDuplicates(["kind", "id"]))
     members = bodies.select("kind", "id", "body")
-    reps = bodies.groupBy("kind", "body").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    return members, similar_bodies(reps, threshold)
+    reps = bodies.groupBy("kind", "body").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    pairs = materialize(_candidates(reps))
+    wanted = pairs.select("kind", F.col("a").alias("body")).unionByName(pairs.select("kind", F.col("b").alias("body"))).distinct()
+    wanted = materialize(members.groupBy("kind", "body").agg(F.min("id").alias("id")).join(wanted, ["kind", "body"]))
+    size = wanted.count() * 48
+
+    def shingled(kind, rid, *rest):  # noqa: ANN001, ANN202
+        *rest, body = rest
+        return [(kind, body, shingle_hashes(_body(kind, *rest), width).tobytes())]
+
+    chosen = known.join(F.broadcast(wanted) if size <= BROADCAST_LIMIT else wanted, ["kind", "id"])
+    sets = materialize(map_rows(chosen.select(*_COLS, "body"), "kind string, body long, shingles binary", shingled).dropDuplicates(["kind", "body"]))
+    left = sets.select("kind", F.col("body").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select("kind", F.col("body").alias("b"), F.col("shingles").alias("sb"))
+    slack = 4 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+
+    def compared(kind, a, b, sa, sb):  # noqa: ANN001, ANN202
+        x, y = np.frombuffer(sa, np.uint32), np.frombuffer(sb, np.uint32)
+        if min(len(x), len(y)) < threshold * max(len(x), len(y)) or estimate(signature(x), signature(y), len(x), len(y)) < threshold - slack:
+            return []
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        j = both / (len(x) + len(y) - both)
+        return [(kind, a, b, j)] if j >= threshold else []
+
+    full = pairs.join(left, ["kind", "a"]).join(right, ["kind", "b"]).select("kind", "a", "b", "sa", "sb")
+    return members, map_rows(full, "kind string, a long, b long, jaccard double", compared)
 
 
 def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
