@@ -31,6 +31,6 @@ def with_sets(pages: DataFrame, sets: DataFrame) -> DataFrame:
     """pages with the freq of their (kind, host); the sets are broadcast only where their measured size is small."""
     sets = materialize(sets)
     size = sets.agg(F.coalesce(F.sum(F.size("freq") * 8 + 64), F.lit(0))).first()[0]
-    right = sets.withColumnRenamed("host", "_host")
+    right = sets.select(F.col("kind").alias("_kind"), F.col("host").alias("_host"), "freq")
     right = F.broadcast(right) if size <= BROADCAST_LIMIT else right
-    return pages.join(right, (pages["kind"] == right["kind"]) & pages["host"].eqNullSafe(right["_host"]), "left").drop(right["kind"]).drop("_host")
+    return pages.join(right, (F.col("kind") == F.col("_kind")) & F.col("host").eqNullSafe(F.col("_host")), "left").drop("_kind", "_host")
