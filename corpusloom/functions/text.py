@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, though body may use it in lambdas and several times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(text: Column) -> Column:
     """ASCII words, lower-cased; null text gives null."""
     return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), 0), lambda x: F.lower(x))
@@ -27,9 +33,12 @@ def sliding_chunks(text: Column, size: int = 120, overlap: int = 30) -> Column:
     """Windows of size words, each size - overlap words after the last, until one reaches the end; empty for no words."""
     size = max(1, size)
     step = max(1, size - max(0, min(overlap, size - 1)))
-    w = words(text)
-    last = F.when(F.size(w) <= size, F.lit(0)).otherwise(F.ceil((F.size(w) - size) / F.lit(step)).cast("int"))
-    return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        last = F.when(F.size(w) <= size, F.lit(0)).otherwise(F.ceil((F.size(w) - size) / F.lit(step)).cast("int"))
+        return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(words(text), cut)
 
 
 def chunks(text: Column, strategy: str = "sentence", size: int = 120, overlap: int = 30) -> Column:
@@ -41,25 +50,33 @@ def chunk_score(chunk: Column, query: str) -> Column:
     import re
 
     q = [t.lower() for t in re.findall("[A-Za-z0-9_]+", query)]
-    k = tokens(chunk)
-    n, u = F.size(k).cast("double"), F.size(F.array_distinct(k)).cast("double")
     if not q:
         return F.lit(0.0)
+    bonus = F.when(F.contains(F.lower(chunk), F.lit(query.lower())), 2.0).otherwise(0.0)
 
-    def part(t: str) -> Column:
-        c = F.size(F.filter(k, lambda x: x == t)).cast("double")
-        return c / n * 4.0 + c / u
+    def scored(k: Column) -> Column:
+        n, u = F.size(k).cast("double"), F.size(F.array_distinct(k)).cast("double")
 
-    total = reduce(lambda a, b: a + b, [part(t) for t in q])
-    bonus = F.when(F.contains(F.lower(chunk), F.lit(query.lower())), 2.0).otherwise(0.0)
-    score = F.round((total + bonus) * (1.0 + 1.0 / (1.0 + F.ln(F.greatest(F.lit(2.0), n)))), 6)
-    return F.when(n > 0, score).otherwise(0.0)
+        def part(t: str) -> Column:
+            c = F.size(F.filter(k, lambda x: x == t)).cast("double")
+            return c / n * 4.0 + c / u
+
+        total = reduce(lambda a, b: a + b, [part(t) for t in q])
+        score = F.round((total + bonus) * (1.0 + 1.0 / (1.0 + F.ln(F.greatest(F.lit(2.0), n)))), 6)
+        return F.when(n > 0, score).otherwise(0.0)
+
+    return let(tokens(chunk), scored)
 
 
 def ngrams(text: Column, width: int = 4, max_length: int = 50_000) -> Column:
     """Runs of width characters of the text lower-cased with white space collapsed, over its first max_length characters; a shorter text is its own run."""
     t = F.substring(F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " ")), 1, max_length)
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < width, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - width + 1), lambda i: F.substr(t, i, F.lit(width))))
+
+    def cut(c: Column) -> Column:  # characters as an array: a place in it is found at once, in a string by counting
+        whole = F.array(F.array_join(c, ""))
+        return F.when(F.size(c) < width, whole).otherwise(F.transform(F.sequence(F.lit(0), F.size(c) - width), lambda i: F.concat(*[F.get(c, i + k) for k in range(width)])))
+
+    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(let(F.filter(F.split(t, ""), lambda x: x != ""), cut))
 
 
 def reading_minutes(text: Column, per_minute: int = 220) -> Column:

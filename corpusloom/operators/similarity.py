@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.text import ngrams
+from corpusloom.functions.text import let, ngrams
 from corpusloom.session import materialize
 
 
@@ -34,9 +34,16 @@ def simhash(text: pd.Series) -> pd.Series:
 def simhash_md5(text: Column, width: int = 4, max_tokens: int = 5_000) -> Column:
     """The same votes over the first 64 bits of md5, in built-in expressions only."""
     hs = F.transform(F.slice(ngrams(text, width), 1, max_tokens), lambda g: F.conv(F.substr(F.md5(g), F.lit(1), F.lit(16)), 16, -10).cast("long"))
-    votes = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.aggregate(hs, F.lit(0), lambda a, h: a + F.when(F.getbit(h, b) == 1, 1).otherwise(-1)))
-    v = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.when(F.get(votes, b) >= 0, F.expr("1L")).otherwise(F.expr("0L")) * F.call_function("shiftleft", F.expr("1L"), b)))
-    return F.when(F.size(hs) > 0, v)
+
+    def vote(hs: Column) -> Column:
+        votes = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.aggregate(hs, F.lit(0), lambda a, h: a + F.when(F.getbit(h, b) == 1, 1).otherwise(-1)))
+        return F.when(F.size(hs) > 0, let(votes, pack))
+
+    def pack(votes: Column) -> Column:
+        bit = lambda b: F.when(F.get(votes, b) >= 0, F.expr("1L")).otherwise(F.expr("0L")) * F.call_function("shiftleft", F.expr("1L"), b)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(bit(b)))
+
+    return let(hs, vote)
 
 
 def simhash_hex(v: Column) -> Column:

@@ -19,7 +19,7 @@ def compile_rule(raw: str) -> tuple[str, str, int, str] | None:
 
     Empty parts are dropped first. The token is the longest literal-looking run of three or more characters, which a value must hold.
     """
-    parts = [p for p in raw.split("\;") if p]
+    parts = [p for p in raw.split("\\;") if p]
     pattern = parts[0] if parts else ""
     conf, version = 100, ""
     for p in parts[1:]:
@@ -50,7 +50,7 @@ def rules_table(spark: SparkSession, catalog: dict) -> tuple[DataFrame, DataFram
                 for raw in listed(raws) or [""]:
                     if r := compile_rule(raw):
                         rules.append((name, channel, k.lower(), *r))
-        implies.extend((name, i.split("\;")[0]) for i in listed(d.get("implies")))
+        implies.extend((name, i.split("\\;")[0]) for i in listed(d.get("implies")))
     return spark.createDataFrame(rules, _RULE), spark.createDataFrame(implies, "tech string, implied string")
 
 

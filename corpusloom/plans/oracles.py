@@ -79,7 +79,7 @@ SQL = {
     "html_content_type": "SELECT DISTINCT page_id, coalesce(regexp_matches(lower(content_type), 'html|xhtml|xml|svg'), false) AS is_html FROM page_store",
     "revalidation_headers": "SELECT DISTINCT page_id, nullif(coalesce(headers['etag'], headers['ETag']), '') AS if_none_match, nullif(coalesce(headers['last-modified'], headers['Last-Modified']), '') AS if_modified_since FROM page_store WHERE nullif(coalesce(headers['etag'], headers['ETag']), '') IS NOT NULL OR nullif(coalesce(headers['last-modified'], headers['Last-Modified']), '') IS NOT NULL",
     "contacts_text": r"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS email FROM documents",
-    "simhash_md5": "WITH t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[\\s\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{3000}]+', ' ', 'g')) AS t FROM documents WHERE n_chars <= 400), g AS (SELECT doc_id, substr(t, i::INT, 4) AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(2, length(t) - 2))) AS i FROM t)), h AS (SELECT doc_id, ('0x' || substr(md5(g), 1, 16))::UBIGINT AS h FROM g), v AS (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM h, (SELECT unnest(range(0, 64))::UBIGINT AS b) GROUP BY doc_id, b), f AS (SELECT doc_id, sum(CASE WHEN s >= 0 THEN (1::UHUGEINT << b::UHUGEINT) ELSE 0 END)::HUGEINT AS x FROM v GROUP BY doc_id) SELECT doc_id, (CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END)::BIGINT AS fp FROM f",
+    "simhash_md5": "WITH t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[\\s\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{3000}]+', ' ', 'g')) AS t FROM documents WHERE n_chars <= 400), g AS (SELECT doc_id, substr(t, i::INT, 4) AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(2, length(t) - 2))) AS i FROM t)), h AS (SELECT doc_id, ('0x' || substr(md5(g), 1, 16))::UBIGINT AS h FROM g), v AS (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM h, (SELECT unnest(range(0, 64))::UBIGINT AS b) GROUP BY doc_id, b), f AS (SELECT doc_id, bit_or(CASE WHEN s >= 0 THEN (1::UBIGINT << b) ELSE 0::UBIGINT END)::HUGEINT AS x FROM v GROUP BY doc_id) SELECT doc_id, (CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END)::BIGINT AS fp FROM f",
     "exact_dup_first_seen": "SELECT md5(text) AS md5, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1",
     "title_jaccard": "SELECT doc_id, round(len(list_intersect(t, u))::DOUBLE / greatest(1, len(list_distinct(list_concat(t, u)))), 6) AS jaccard FROM (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(title, '[A-Za-z0-9_]+'), lambda x: lower(x))) AS t, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x))) AS u FROM documents WHERE title IS NOT NULL)",
     "auto_throttle": "SELECT event_type, greatest(10, least(5000, trunc(avg(value) * 0.5)::INT)) AS delay_ms FROM events GROUP BY 1",
@@ -95,7 +95,7 @@ SQL = {
     "search_attach_left_join": "SELECT a.article_id, a.url AS link, p.page_id FROM (SELECT DISTINCT article_id, url FROM article_meta) a LEFT JOIN (SELECT final_url, min(page_id) AS page_id FROM page_store GROUP BY 1) p ON a.url = p.final_url",
     "author_names": r"SELECT DISTINCT author, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(author, '(?i)^\s*by\s+', ''), '\|.*$', ''), '[\[(].*$', ''), '\d+\s*$', '')) AS name FROM article_meta WHERE author IS NOT NULL",
     "tech_search": "SELECT * FROM (VALUES ('Apache', 'https://httpd.apache.org', 'Web servers'), ('Caddy', 'https://caddyserver.com', 'Web servers'), ('Nginx', 'https://nginx.org', 'Web servers')) t(name, website, categories)",
-    "site_traversal": f"WITH RECURSIVE n AS (SELECT key, min(page_id) AS page_id, min(host) AS host FROM (SELECT page_id, host, {_key('url')} AS key FROM page_store) GROUP BY key), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS i FROM n), e AS (SELECT a.key AS src, b.key AS dst FROM r a JOIN r b ON a.host = b.host AND b.i BETWEEN a.i * 2 AND a.i * 2 + 3), t AS (SELECT min(key) AS key, 0 AS depth FROM n UNION SELECT e.dst, t.depth + 1 FROM t JOIN e ON t.key = e.src WHERE t.depth < 3) SELECT key, min(depth)::INT AS depth FROM t GROUP BY key",
+    "site_traversal": f"WITH RECURSIVE n AS (SELECT key, min(page_id) AS page_id, min(host) AS host FROM (SELECT page_id, host, {_key('url')} AS key FROM page_store) GROUP BY key), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS i FROM n), e AS (SELECT a.key AS src, b.key AS dst FROM r a JOIN r b ON a.host = b.host AND b.i BETWEEN a.i + 1 AND a.i + 4), t AS (SELECT min(key) AS key, 0 AS depth FROM n UNION SELECT e.dst, t.depth + 1 FROM t JOIN e ON t.key = e.src WHERE t.depth < 3) SELECT key, min(depth)::INT AS depth FROM t GROUP BY key",
     "traversal_bench_stats": "SELECT user_id % 4 AS concurrency, count(*) AS samples, round(avg(value), 4) AS avg_seconds, min(value) AS min_seconds, max(value) AS max_seconds, round(median(value), 4) AS median_seconds FROM events GROUP BY 1",
-    "page_metadata": r"WITH p AS (SELECT page_id, html FROM page_store WHERE regexp_matches(html, '(?i)<html') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY url) = 1) SELECT page_id, replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&#x27;', ''''), '&quot;', '\"'), '&gt;', '>'), '&amp;', '&') AS title, replace(replace(regexp_extract(html, '<meta name=.description. content=.([^\"]*)\"', 1), '&#x27;', ''''), '&amp;', '&') AS description FROM p",
+    "page_metadata": r"WITH p AS (SELECT page_id, html FROM page_store WHERE regexp_matches(html, '(?i)<html') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY url) = 1) SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&#x27;', ''''), '&quot;', '\"'), '&gt;', '>'), '&lt;', '<'), '&amp;', '&') AS title, replace(replace(regexp_extract(html, '<meta name=.description. content=.([^\"]*)\"', 1), '&#x27;', ''''), '&amp;', '&') AS description FROM p",
 }

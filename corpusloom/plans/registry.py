@@ -341,11 +341,11 @@ def tech_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the stored pages: the pages of a host in order, each linked to the four after its double."""
+    """Nodes and edges of the stored pages: the pages of a host in order, each linked to the four after it."""
     n = _pages(spark, d).select("page_id", "host", urls.url_key(F.col("url")).alias("key")).where("key is not null")
     n = n.groupBy("key").agg(F.min("page_id").alias("page_id"), F.min("host").alias("host"))
     r = n.withColumn("i", F.row_number().over(Window.partitionBy("host").orderBy("page_id")))
-    e = r.select("host", F.col("key").alias("src"), F.posexplode(F.sequence(F.col("i") * 2, F.col("i") * 2 + 3)).alias("pos", "i")).join(r.select("host", "i", F.col("key").alias("dst")), ["host", "i"]).select("src", "pos", "dst")
+    e = r.select("host", F.col("key").alias("src"), F.posexplode(F.sequence(F.col("i") + 1, F.col("i") + 4)).alias("pos", "i")).join(r.select("host", "i", F.col("key").alias("dst")), ["host", "i"]).select("src", "pos", "dst")
     return n.select("key"), e
 
 
