@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.dom import parse
 from corpusloom.operators.arrow import map_rows
+from corpusloom.session import materialize
 
 _RULE = "tech string, channel string, key string, pattern string, token string, confidence int, version string"
 
@@ -69,7 +70,8 @@ def signals(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     plain = lambda ch, c: pages.select(id_col, F.lit(ch).alias("channel"), F.lit("").alias("key"), F.col(c).alias("value"))
     head = pages.select(id_col, F.explode("headers").alias("k", "value")).select(id_col, F.lit("headers").alias("channel"), F.lower("k").alias("key"), "value")
     cookie = head.where("key = 'set-cookie'").select(id_col, F.lit("cookies").alias("channel"), F.lower(F.trim(F.split_part("value", F.lit("="), F.lit(1)))).alias("key"), F.split_part(F.split_part("value", F.lit(";"), F.lit(1)), F.lit("="), F.lit(2)).alias("value"))
-    return parsed.unionByName(plain("url", "url")).unionByName(plain("html", "html")).unionByName(head).unionByName(cookie).where("value is not null").distinct()
+    small = parsed.unionByName(head).unionByName(cookie).distinct()  # html itself is never shuffled
+    return small.unionByName(plain("url", "url")).unionByName(plain("html", "html")).where("value is not null")
 
 
 def fingerprint(pages: DataFrame, rules: DataFrame, implies: DataFrame, aggression: int = 3, id_col: str = "page_id") -> DataFrame:
@@ -84,10 +86,10 @@ def fingerprint(pages: DataFrame, rules: DataFrame, implies: DataFrame, aggressi
     hit = j.where(F.expr("rlike(value, concat('(?iu)', pattern))"))
     ver = F.when(F.contains("version", F.lit("\\1")), F.expr(r"replace(version, '\\1', regexp_extract(value, concat('(?iu)', pattern), 1))")).otherwise(F.col("version"))
     got = hit.withColumn("v", ver).groupBy(id_col, "tech").agg(F.least(F.lit(100), F.sum("confidence")).cast("int").alias("confidence"), F.element_at(F.concat(F.array_sort(F.collect_set(F.nullif("v", F.lit("")))), F.array(F.lit(""))), 1).alias("version"), F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("matched_on"))
+    got = materialize(got)
     out, level = got, got.select(id_col, "tech")
-    closure = implies.persist()
     for _ in range(5):
-        level = level.join(closure, "tech").select(id_col, F.col("implied").alias("tech")).distinct().join(out.select(id_col, "tech"), [id_col, "tech"], "left_anti")
+        level = materialize(level.join(implies, "tech").select(id_col, F.col("implied").alias("tech")).distinct().join(out.select(id_col, "tech"), [id_col, "tech"], "left_anti"))
         if level.isEmpty():
             break
         out = out.unionByName(level.select(id_col, "tech", F.lit(100).alias("confidence"), F.lit("").alias("version"), F.lit("implied").alias("matched_on")))
