@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -10,19 +14,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.text import let, ngrams
+from corpusloom.functions.text import collapsed
 from corpusloom.session import materialize
 
+#: Shingles whose votes are counted at once.
+VOTED_AT_ONCE = 1 << 13
 
-def _blake_simhash(text: str, bits: int = 64, width: int = 4, max_length: int = 50_000, max_tokens: int = 5_000) -> int | None:
-    t = " ".join(text.lower().split())[:max_length]
+
+@lru_cache(1 << 17)
+def _blake(gram: str, size: int) -> bytes:
+    return hashlib.blake2b(gram.encode(), digest_size=size).digest()
+
+
+@lru_cache(1 << 17)
+def _md5(gram: str, size: int) -> bytes:
+    return hashlib.md5(gram.encode()).digest()[:size]
+
+
+def _vote(t: str, digest: Callable[[str, int], bytes], bits: int, width: int, max_tokens: int | None) -> int | None:
+    """Signed SimHash of a folded text: each shingle is hashed once and votes as often as it stands there."""
     if not t:
         return None
-    grams = [t] if len(t) < width else [t[i : i + width] for i in range(len(t) - width + 1)][:max_tokens]
-    raw = b"".join(hashlib.blake2b(g.encode(), digest_size=bits // 8).digest() for g in grams)
-    votes = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(grams), bits // 8), axis=1).sum(0, dtype=np.int64) * 2 - len(grams)
-    v = int.from_bytes(np.packbits(votes >= 0).tobytes(), "big")
-    return v - (1 << 64) if v >= 1 << 63 else v
+    counts = Counter([t] if len(t) < width else islice(map("".join, zip(*(t[i:] for i in range(width)))), max_tokens))
+    size, ones, rest = bits // 8, np.zeros(bits), iter(counts.items())
+    while part := list(islice(rest, VOTED_AT_ONCE)):
+        m = np.unpackbits(np.frombuffer(b"".join(digest(g, size) for g, _ in part), np.uint8).reshape(len(part), size), axis=1)
+        ones += np.array([n for _, n in part], np.float64) @ m.astype(np.float64)
+    v = int.from_bytes(np.packbits(2 * ones >= counts.total()).tobytes(), "big")
+    return v - (1 << bits) if v >= 1 << bits - 1 else v
+
+
+def _blake_simhash(text: str, bits: int = 64, width: int = 4, max_length: int = 50_000, max_tokens: int = 5_000) -> int | None:
+    return _vote(" ".join(text.lower().split())[:max_length], _blake, bits, width, max_tokens)
 
 
 @F.pandas_udf(T.LongType())
@@ -32,18 +55,13 @@ def simhash(text: pd.Series) -> pd.Series:
 
 
 def simhash_md5(text: Column, width: int = 4, max_tokens: int = 5_000) -> Column:
-    """The same votes over the first 64 bits of md5, in built-in expressions only."""
-    hs = F.transform(F.slice(ngrams(text, width), 1, max_tokens), lambda g: F.conv(F.substr(F.md5(g), F.lit(1), F.lit(16)), 16, -10).cast("long"))
-
-    def vote(hs: Column) -> Column:
-        votes = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.aggregate(hs, F.lit(0), lambda a, h: a + F.when(F.getbit(h, b) == 1, 1).otherwise(-1)))
-        return F.when(F.size(hs) > 0, let(votes, pack))
+    """The same votes over the first 64 bits of md5, of the text folded as in ngrams."""
 
-    def pack(votes: Column) -> Column:
-        bit = lambda b: F.when(F.get(votes, b) >= 0, F.expr("1L")).otherwise(F.expr("0L")) * F.call_function("shiftleft", F.expr("1L"), b)
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(bit(b)))
+    @F.pandas_udf(T.LongType())
+    def run(text: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _vote(t, _md5, 64, width, max_tokens) for t in text], dtype="Int64")
 
-    return let(hs, vote)
+    return run(collapsed(text, 50_000))
 
 
 def simhash_hex(v: Column) -> Column:

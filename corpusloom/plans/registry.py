@@ -173,8 +173,7 @@ def contacts_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def simhash_md5(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").where("n_chars <= 400")
-    return docs.select("doc_id", similarity.simhash_md5(F.col("text")).alias("fp"))
+    return load(spark, d, "documents").select("doc_id", similarity.simhash_md5(F.col("text")).alias("fp"))
 
 
 @query

@@ -1,5 +1,6 @@
 """Core operators: scalar cases, brute force on small tables, and empty, null and clashing inputs."""
 
+import hashlib
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from corpusloom.functions.dates import iso_utc, to_epoch
 from corpusloom.functions.dom import parse
 from corpusloom.operators import pages, ranking, similarity, tech, traverse
 from corpusloom.operators.timestamps import normalize_timestamps
+from corpusloom.plans import registry
 from corpusloom.sources import store
 
 
@@ -120,6 +122,27 @@ def test_simhash(spark):
     assert [(x.band, x.value) for x in b] == [(0, 65247), (1, 52558), (2, 54845), (3, 64478)]
 
 
+def _simhash_md5(t):
+    t = " ".join(t.lower().split())
+    grams = [t] if len(t) < 4 else [t[i : i + 4] for i in range(len(t) - 3)]
+    hs = [int(hashlib.md5(g.encode()).hexdigest()[:16], 16) for g in grams]
+    v = sum(1 << b for b in range(64) if sum(1 if h >> b & 1 else -1 for h in hs) >= 0)
+    return v - (1 << 64) if v >= 1 << 63 else v
+
+
+def _documents(spark, path, texts):
+    rows = [(i, t, None if t is None else len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars int").write.parquet(str(path / "documents.parquet"))
+    return str(path)
+
+
+def test_simhash_md5_of_all_documents(spark, tmp_path):
+    r = random.Random(5)
+    texts = ["ab", "Hello  World", " ".join(r.choice(["one", "Two", "thrée", "😀"]) for _ in range(600)), "", None]
+    got = {x.doc_id: x.fp for x in registry.queries()["simhash_md5"](spark, _documents(spark, tmp_path, texts)).collect()}
+    assert got == {i: _simhash_md5(t) if t else None for i, t in enumerate(texts)}
+
+
 def test_neardup_pairs_and_leaders(spark):
     r = random.Random(3)
     fps = [r.getrandbits(63) for _ in range(40)]
