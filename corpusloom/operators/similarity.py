@@ -111,3 +111,28 @@ def leaders(pairs: DataFrame, nodes: DataFrame, id_col: str, max_rounds: int = 5
     kept = state.where("state = 'leader'").select(F.col("id").alias("before"))
     to = e.join(kept, "before").groupBy("id").agg(F.min_by("before", F.struct("distance", "before")).alias("leader"))
     return state.join(to, "id", "left").select("id", F.when(F.col("state") == "leader", F.col("id")).otherwise(F.col("leader")).alias("leader"))
+
+
+def neardup_links(df: DataFrame, id_col: str, fp_col: str, max_distance: int = 3) -> DataFrame:
+    """(id_a, id_b, distance): neardup_pairs of the representatives, and at distance 0 each representative with each of its copies."""
+    rows = materialize(df.select(F.col(id_col).alias("id"), F.col(fp_col).alias("fp")).where("fp is not null").distinct())
+    reps = rows.groupBy("fp").agg(F.min("id").alias("id_a"))
+    copies = rows.join(reps, "fp").where("id_a < id").select("id_a", F.col("id").alias("id_b"), F.lit(0).alias("distance"))
+    return neardup_pairs(rows, "id", "fp", max_distance).unionByName(copies)
+
+
+def neardup_leaders(df: DataFrame, id_col: str, fp_col: str, max_distance: int = 3) -> DataFrame:
+    """(id, leader) of every row, as leaders over all rows: a copy is never kept, so the representatives alone decide who is.
+
+    A copy of a kept representative gets it; any other copy gets the nearest kept one before the copy, which may come
+    after the representative. Kept ones are more than the distance apart, so few are near one fingerprint. A row
+    without a fingerprint is its own leader.
+    """
+    rows = materialize(df.select(F.col(id_col).alias("id"), F.col(fp_col).alias("fp")).distinct())
+    reps = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("rep"))
+    pairs = materialize(neardup_pairs(rows, "id", "fp", max_distance))
+    kept = materialize(leaders(pairs, reps, "rep").where("id = leader").select(F.col("id").alias("kept")))
+    both = pairs.select("id_a", "id_b", "distance").union(pairs.select("id_b", "id_a", "distance")).toDF("rep", "kept", "distance").union(kept.select("kept", "kept", F.lit(0)))
+    near = both.join(kept, "kept").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("distance", "kept"))).alias("near"))
+    first = F.get(F.filter("near", lambda x: x["kept"] <= F.col("id")), F.lit(0))["kept"]
+    return rows.join(reps.join(near, "rep"), "fp", "left").select("id", F.when(F.col("fp").isNull(), F.col("id")).otherwise(first).alias("leader"))

@@ -184,13 +184,13 @@ def simhash_blake2b(spark: SparkSession, d: str) -> DataFrame:
 @query
 def simhash_neardup_pairs(spark: SparkSession, d: str) -> DataFrame:
     fp = load(spark, d, "documents").select("doc_id", similarity.simhash(F.col("text")).alias("fp"))
-    return similarity.neardup_pairs(fp, "doc_id", "fp")
+    return similarity.neardup_links(fp, "doc_id", "fp")
 
 
 @query
 def neardup_leaders(spark: SparkSession, d: str) -> DataFrame:
     fp = load(spark, d, "documents").select("doc_id", similarity.simhash(F.col("text")).alias("fp"))
-    return similarity.leaders(similarity.neardup_pairs(fp, "doc_id", "fp"), fp, "doc_id")
+    return similarity.neardup_leaders(fp, "doc_id", "fp")
 
 
 @query

@@ -168,6 +168,33 @@ def test_neardup_pairs_and_leaders(spark):
     assert {x.id: x.leader for x in similarity.leaders(pairs, spark.createDataFrame([(i,) for i in ids], "id long"), "id").collect()} == lead
 
 
+def _greedy(fps):
+    kept, lead = [], {}
+    for i, f in enumerate(fps):
+        c = [((f ^ fps[k]).bit_count(), k) for k in kept if f is not None and (f ^ fps[k]).bit_count() <= 3]
+        lead[i] = min(c)[1] if c else i
+        if not c and f is not None:
+            kept.append(i)
+    return lead
+
+
+def test_leaders_with_copies_among_the_nodes(spark):
+    r = random.Random(4)
+    fps = [0, 0b111, 0b1111, 0b111, None, None]  # the copy of 1 is nearer to 2, which comes after 1
+    base = [r.getrandbits(63) for _ in range(30)]
+    rest = base + [f ^ (1 << r.randrange(8)) ^ (1 << r.randrange(8)) for f in base * 3] + [base[0]] * 40
+    r.shuffle(rest)
+    fps += rest
+    df = spark.createDataFrame(list(enumerate(fps)), "id long, fp long")
+    assert {x.id: x.leader for x in similarity.neardup_leaders(df, "id", "fp").collect()} == _greedy(fps)
+
+
+def test_neardup_queries_attach_copies(spark, tmp_path):
+    d = _documents(spark, tmp_path, ["one text of some length", "another thing", "one text of  some length", None, "One text of some length"])
+    assert {tuple(x) for x in registry.queries()["simhash_neardup_pairs"](spark, d).collect()} == {(0, 2, 0), (0, 4, 0)}
+    assert {tuple(x) for x in registry.queries()["neardup_leaders"](spark, d).collect()} == {(0, 0), (1, 1), (2, 0), (3, 3), (4, 0)}
+
+
 HTML = """<html lang="en"><head><title>My Post</title><link rel="canonical" href="/c"><meta name="description" content="d"></head><body>
 <nav><a href="/n">N</a></nav><article><h1>My Post</h1><p>One long paragraph, with commas, that says enough to be scored as text for the article. It goes on.</p>
 <p>Another <a href="/b#x">link</a> paragraph.<p>nested</article><form action="/s"><input name="q" value="v"><select name="o"><option value="1">A</option></select></form>
