@@ -68,13 +68,14 @@ def chunk_score(chunk: Column, query: str) -> Column:
     return let(tokens(chunk), scored)
 
 
-def collapsed(text: Column, max_length: int) -> Column:
-    """The text lower-cased with white space collapsed, its first max_length characters."""
-    return F.substring(F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " ")), 1, max_length)
+def collapsed(text: Column, max_length: int | None = None) -> Column:
+    """The text lower-cased with white space collapsed, or its first max_length characters."""
+    t = F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
+    return t if max_length is None else F.substring(t, 1, max_length)
 
 
-def ngrams(text: Column, width: int = 4, max_length: int = 50_000) -> Column:
-    """Runs of width characters of the text lower-cased with white space collapsed, over its first max_length characters; a shorter text is its own run."""
+def ngrams(text: Column, width: int = 4, max_length: int | None = None) -> Column:
+    """Runs of width characters of the text lower-cased with white space collapsed, or of its first max_length characters; a shorter text is its own run."""
     t = collapsed(text, max_length)
 
     def cut(c: Column) -> Column:  # characters as an array: a place in it is found at once, in a string by counting

@@ -44,24 +44,24 @@ def _vote(t: str, digest: Callable[[str, int], bytes], bits: int, width: int, ma
     return v - (1 << bits) if v >= 1 << bits - 1 else v
 
 
-def _blake_simhash(text: str, bits: int = 64, width: int = 4, max_length: int = 50_000, max_tokens: int = 5_000) -> int | None:
+def _blake_simhash(text: str, bits: int = 64, width: int = 4, max_length: int | None = None, max_tokens: int | None = None) -> int | None:
     return _vote(" ".join(text.lower().split())[:max_length], _blake, bits, width, max_tokens)
 
 
 @F.pandas_udf(T.LongType())
 def simhash(text: pd.Series) -> pd.Series:
-    """64-bit SimHash over runs of four characters hashed by blake2b, as a signed long; null for no text."""
+    """64-bit SimHash over all runs of four characters of the whole text, hashed by blake2b, as a signed long; null for no text."""
     return pd.Series([None if t is None else _blake_simhash(t) for t in text], dtype="Int64")
 
 
-def simhash_md5(text: Column, width: int = 4, max_tokens: int = 5_000) -> Column:
-    """The same votes over the first 64 bits of md5, of the text folded as in ngrams."""
+def simhash_md5(text: Column, width: int = 4, max_length: int | None = None, max_tokens: int | None = None) -> Column:
+    """The same votes over the first 64 bits of md5, of the text folded as in ngrams; the whole text unless a bound is given."""
 
     @F.pandas_udf(T.LongType())
     def run(text: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else _vote(t, _md5, 64, width, max_tokens) for t in text], dtype="Int64")
 
-    return run(collapsed(text, 50_000))
+    return run(collapsed(text, max_length))
 
 
 def simhash_hex(v: Column) -> Column:
@@ -115,8 +115,8 @@ def leaders(pairs: DataFrame, nodes: DataFrame, id_col: str, max_rounds: int = 5
 
 def neardup_links(df: DataFrame, id_col: str, fp_col: str, max_distance: int = 3) -> DataFrame:
     """(id_a, id_b, distance): neardup_pairs of the representatives, and at distance 0 each representative with each of its copies."""
-    rows = materialize(df.select(F.col(id_col).alias("id"), F.col(fp_col).alias("fp")).where("fp is not null").distinct())
-    reps = rows.groupBy("fp").agg(F.min("id").alias("id_a"))
+    rows = materialize(df.select(F.col(id_col).alias("id"), F.col(fp_col).alias("fp")).distinct())  # a filter here would compute the fingerprints twice
+    reps = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id_a"))
     copies = rows.join(reps, "fp").where("id_a < id").select("id_a", F.col("id").alias("id_b"), F.lit(0).alias("distance"))
     return neardup_pairs(rows, "id", "fp", max_distance).unionByName(copies)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +144,20 @@ def test_simhash_md5_of_all_documents(spark, tmp_path):
     assert got == {i: _simhash_md5(t) if t else None for i, t in enumerate(texts)}
 
 
+def test_long_texts_count_whole(spark, tmp_path):
+    r = random.Random(6)
+    text = "".join(r.choice("abcdefghij") for _ in range(6_000)) + "".join(r.choice("klmnopqrst") for _ in range(50_000))
+    d = _documents(spark, tmp_path, [text])
+    grams = [text[i : i + 4] for i in range(len(text) - 3)]
+    hs = [int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") for g in grams]
+    blake = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) >= len(hs))
+    run = lambda q: registry.queries()[q](spark, d).collect()
+    assert run("simhash_blake2b")[0].simhash == f"{blake:016x}"
+    assert run("simhash_md5")[0].fp == _simhash_md5(text)
+    assert {x.gram: x.n for x in run("ngram_counts")} == Counter(grams)
+    assert similarity._blake_simhash(text, max_tokens=5_000) == similarity._blake_simhash(text[:5_003])
+
+
 def test_neardup_pairs_and_leaders(spark):
     r = random.Random(3)
     fps = [r.getrandbits(63) for _ in range(40)]
