@@ -93,3 +93,9 @@ def reading_minutes(text: Column, per_minute: int = 220) -> Column:
 
 def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def phones(text: Column) -> Column:
+    """Distinct phone numbers as their digits with a leading +, where there are at least 7 digits."""
+    found = F.regexp_extract_all(text, F.lit(r"(?U)\+?\d[\d\s\x1c-\x1f().-]{6,}\d"), 0)
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"(?U)[^\d+]", "")), lambda x: F.length(F.replace(x, F.lit("+"), F.lit(""))) >= 7))

@@ -168,7 +168,8 @@ def revalidation_headers(spark: SparkSession, d: str) -> DataFrame:
 @query
 def contacts_text(spark: SparkSession, d: str) -> DataFrame:
     e = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"), 0))
-    return load(spark, d, "documents").select("doc_id", F.explode(e).alias("email"))
+    kinds = F.create_map(F.lit("email"), e, F.lit("phone"), tx.phones(F.col("text")))
+    return load(spark, d, "documents").where("text is not null").select("doc_id", F.explode(kinds).alias("kind", "v")).select("doc_id", "kind", F.explode("v").alias("value"))
 
 
 @query

@@ -216,6 +216,13 @@ HTML = """<html lang="en"><head><title>My Post</title><link rel="canonical" href
 <script>window.__INITIAL_STATE__={"a":{"b":"}"}};</script><a rel="next" href="/?page=2">next</a><a href="mailto:x@y.example">m</a></body></html>"""
 
 
+def test_contacts_text_has_phones(spark, tmp_path):
+    texts = ["Call +44 (0)20 7946-0958 or a@b.example, again +44 020 79460958.", "12 34 5678\u00a09, 12-34", None, ""]
+    got = {tuple(x) for x in registry.queries()["contacts_text"](spark, _documents(spark, tmp_path, texts)).collect()}
+    assert got == {(0, "email", "a@b.example"), (0, "phone", "+4402079460958"), (1, "phone", "123456789")}
+    assert "123456789" == pagefacts.phone_digits(pagefacts.PHONE.findall(texts[1])[0])
+
+
 def test_page_facts(spark):
     u = "https://e.example/"
     d = parse(HTML)
