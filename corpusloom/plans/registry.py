@@ -264,8 +264,10 @@ def quiet_gap_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def search_union_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Two providers: the stored pages, then the addresses of the article metadata."""
     x = load(spark, d, "page_store").select(F.col("page_id").alias("ord"), F.col("url").alias("link")).distinct()
-    return search.union_providers([x.where("ord % 2 = 0"), x.where("ord % 3 = 0")]).select("source", "ord", "link")
+    y = load(spark, d, "article_meta").select(F.col("article_id").alias("ord"), F.col("url").alias("link")).distinct()
+    return search.union_providers([x, y]).select("source", "ord", "link")
 
 
 @query

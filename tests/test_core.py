@@ -223,6 +223,15 @@ def test_contacts_text_has_phones(spark, tmp_path):
     assert "123456789" == pagefacts.phone_digits(pagefacts.PHONE.findall(texts[1])[0])
 
 
+def test_search_union_has_whole_tables(spark, tmp_path):
+    u = "https://e.example/"
+    pages_ = [(i, f"{u}{i}") for i in range(1, 8)] + [(7, f"{u}7")]
+    spark.createDataFrame(pages_, "page_id long, url string").write.parquet(str(tmp_path / "page_store.parquet"))
+    spark.createDataFrame([(1, f"{u}5?utm_source=x"), (5, f"{u}new"), (6, f"{u}new"), (8, None)], "article_id long, url string").write.parquet(str(tmp_path / "article_meta.parquet"))
+    got = {tuple(x) for x in registry.queries()["search_union_dedupe"](spark, str(tmp_path)).collect()}
+    assert got == {(0, i, f"{u}{i}") for i in range(1, 8)} | {(1, 5, f"{u}new"), (1, 8, None)}
+
+
 def test_page_facts(spark):
     u = "https://e.example/"
     d = parse(HTML)
