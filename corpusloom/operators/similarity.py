@@ -10,7 +10,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,18 +96,40 @@ def neardup_pairs(df: DataFrame, id_col: str, fp_col: str, max_distance: int = 3
     return p.where(d <= max_distance).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), d.alias("distance")).distinct()
 
 
-def leaders(pairs: DataFrame, nodes: DataFrame, id_col: str, max_rounds: int = 50) -> DataFrame:
+def _in_order(left: list[Row], ids: DataFrame) -> DataFrame:
+    """(id, decided) of open ids, from all their earlier neighbours that are not near ones: (id, before, state of before) in left."""
+    before: dict = {}
+    for i, b, bs in left:
+        before.setdefault(i, []).append((b, bs))
+        if bs == "open":
+            before.setdefault(b, [])
+    kept: dict = {}
+    for i in sorted(before):
+        kept[i] = not any(bs == "leader" or kept[b] for b, bs in before[i])
+    rows = [(i, "leader" if k else "near") for i, k in kept.items()]
+    return ids.sparkSession.createDataFrame(rows, T.StructType([ids.schema["id"], T.StructField("decided", T.StringType())]))
+
+
+def leaders(pairs: DataFrame, nodes: DataFrame, id_col: str, max_rounds: int | None = None, at_driver: int = 100_000) -> DataFrame:
     """(id, leader): the result of taking ids in order and keeping each that is near no kept one; a near id gets its nearest kept one, ties to the least.
 
-    Each round decides all ids whose earlier neighbours are decided; rounds are checkpointed to the shared folder.
+    Each round decides all ids whose earlier neighbours are decided, at least the least open one; rounds are
+    checkpointed to the shared folder and go on until none is open. A chain decides one id a round, so once no more
+    than at_driver pairs of open ids with leaders or open ids are left, the driver takes these in order. Over max_rounds it raises.
     """
     e = materialize(pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("before"), "distance"))
     state = materialize(nodes.select(F.col(id_col).alias("id")).distinct().join(e.select("id").distinct().withColumn("has", F.lit(True)), "id", "left").select("id", F.when(F.col("has").isNull(), F.lit("leader")).otherwise(F.lit("open")).alias("state")))
-    for _ in range(max_rounds):
-        if state.where("state = 'open'").isEmpty():
-            break
+    rounds = 0
+    while not state.where("state = 'open'").isEmpty():
+        if rounds == max_rounds:
+            raise RuntimeError(f"leaders: ids are still open after {max_rounds} rounds")
+        rounds += 1
         seen = e.join(state.select(F.col("id").alias("before"), F.col("state").alias("bs")), "before").groupBy("id").agg(F.max(F.col("bs") == "leader").alias("any_leader"), F.min(F.col("bs") == "near").alias("all_near"))
         state = materialize(state.join(seen, "id", "left").select("id", F.when(F.col("state") != "open", F.col("state")).when(F.col("any_leader"), "near").when(F.col("all_near"), "leader").otherwise("open").alias("state")))
+        open_ = state.where("state = 'open'").select("id")
+        left = e.join(open_, "id").join(state.where("state != 'near'").toDF("before", "bs"), "before").select("id", "before", "bs").limit(at_driver + 1).collect() if at_driver else []
+        if 0 < len(left) <= at_driver:
+            state = materialize(state.join(_in_order(left, open_), "id", "left").select("id", F.coalesce("decided", "state").alias("state")))
     kept = state.where("state = 'leader'").select(F.col("id").alias("before"))
     to = e.join(kept, "before").groupBy("id").agg(F.min_by("before", F.struct("distance", "before")).alias("leader"))
     return state.join(to, "id", "left").select("id", F.when(F.col("state") == "leader", F.col("id")).otherwise(F.col("leader")).alias("leader"))

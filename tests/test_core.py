@@ -204,6 +204,19 @@ def test_leaders_with_copies_among_the_nodes(spark):
     assert {x.id: x.leader for x in similarity.neardup_leaders(df, "id", "fp").collect()} == _greedy(fps)
 
 
+@pytest.mark.parametrize(("n", "at_driver"), [(56, 0), (500, 100_000), (60, 20)])
+def test_leaders_of_a_long_chain(spark, n, at_driver):
+    pairs = spark.createDataFrame([(i, i + 1, 2) for i in range(n - 1)], "id_a long, id_b long, distance int")
+    got = {x.id: x.leader for x in similarity.leaders(pairs, spark.range(n), "id", at_driver=at_driver).collect()}
+    assert got == {i: i - i % 2 for i in range(n)}
+
+
+def test_leaders_raise_at_a_bound(spark):
+    pairs = spark.createDataFrame([(i, i + 1, 2) for i in range(9)], "id_a long, id_b long, distance int")
+    with pytest.raises(RuntimeError):
+        similarity.leaders(pairs, spark.range(10), "id", max_rounds=2, at_driver=0)
+
+
 def test_neardup_queries_attach_copies(spark, tmp_path):
     d = _documents(spark, tmp_path, ["one text of some length", "another thing", "one text of  some length", None, "One text of some length"])
     assert {tuple(x) for x in registry.queries()["simhash_neardup_pairs"](spark, d).collect()} == {(0, 2, 0), (0, 4, 0)}
