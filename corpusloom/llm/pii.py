@@ -25,8 +25,6 @@ OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 
 _TOKEN = re.compile(r"[(\[](?:at|dot|AT|DOT)[)\]]|\d+|[^\W\d_]+(?:['’][^\W\d_]+)?|[^\w\s]|_")
 _SPLIT = re.compile(r"\n+|(?<=[a-zß-ÿ0-9”\")\]][.!?])\s+(?=[A-ZÀ-Þ¿¡“\"])")
-#: A sentence without any of these cannot hold a mention that passes the exact check.
-_MAYBE = re.compile(r"@|[(\[](?:at|AT)[)\]]|\d{5}|\d[ ./()\-]{1,2}\(?\d|[A-Z]\d{3}|[A-ZÀ-Þ][\w’'\-]*\.?,? [A-ZÀ-Þ]|\d,? [A-ZÀ-Þ]|[^\W\d_] \d+, \d|\b\d+ (?:rue|allée|avenue|place|quai|chemin|boulevard|impasse)\b")
 _GIVEN = frozenset(GIVEN)
 #: Mark of a token that nothing separates from the one before.
 GLUE = "\x02"
@@ -293,7 +291,7 @@ def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | Non
         v = v[m.end() :]
     if v.endswith(".") and not re.search(r"(?:^|[\s.])[^\W\d_]\.$", v):
         v = v[:-1]
-    if not v or not _NAME.fullmatch(v) or v.isupper() and len(v) < 6 or not all(w[0].isupper() or w in _PARTICLES for w in _ALPHA.findall(v)):
+    if not v or not _NAME.fullmatch(v) or v.isupper() and len(v) < 6 or not all(w[0].isupper() or w in _PARTICLES for w in _ALPHA.findall(v)) or sum(w[0].isupper() for w in _ALPHA.findall(v)) < 2:
         return None
     at = text.index(v, start)
     return at, at + len(v)
@@ -309,7 +307,7 @@ def mentions(texts: list[str], model: Tagger) -> list[list[tuple[int, int, str]]
         bounds = [m.span() for m in _SPLIT.finditer(text)]
         for a, b in [*bounds, (len(text), len(text))]:
             s = text[last:a]
-            if s and _MAYBE.search(s):
+            if s:
                 tok = [(x + last, y + last, t) for x, y, t in tokens(s)]
                 for lo in range(0, len(tok), 400):  # a line without sentence ends is decoded in overlapping runs
                     run = tok[max(0, lo - 20) : lo + 420]

@@ -237,3 +237,10 @@ def test_sql_keys():
 
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert F is not None
+
+
+def test_names_with_capitals_of_any_alphabet_are_decoded():
+    from corpusloom.llm import pii
+
+    texts = ["Contact Łukasz Żak for details.", "el archivo y Plaafal"]
+    assert [[(t[s:e], k) for s, e, k in f] for t, f in zip(texts, pii.mentions(texts, pii.tagger()))] == [[("Łukasz Żak", "person_name")], []]
