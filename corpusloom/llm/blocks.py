@@ -15,6 +15,9 @@ _ENDS = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "templa
 _COUNTED = re.compile(r"<(?:p|li|h[1-6])(?=[\s/>])", re.I)
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WS = re.compile(r"\s+")
+_BLANK = re.compile(r"[\ufeff\s]*")
+_NO_PAGE = re.compile(r"<\?xml(?![^>]*>\s*(?:<!--.*?-->\s*)*<(?:!doctype\s+)?html\b)|<rss|<feed|<rdf|[{\[]", re.I | re.S)
+_PAGE_TAG = re.compile(r"<(?:html|body|p|div|h1|table)\b", re.I)
 _WORD = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"[0-9]+")
 INLINE = frozenset("a abbr b bdi bdo br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr button".split())
@@ -39,9 +42,10 @@ def is_html(source: str | None) -> bool:
     """Whether the source is an HTML page, not a feed, JSON or nothing."""
     if not source:
         return False
-    s = source.lstrip("﻿ \t\r\n")
-    low = s[:600].lower()
-    return s[:1] == "<" and not low.startswith(("<?xml", "<rss", "<feed", "<rdf")) or ("<html" in low or "<body" in low) and not low.startswith(("<?xml", "<rss", "{", "["))
+    s = _BLANK.match(source).end()
+    if _NO_PAGE.match(source, s):
+        return False
+    return source[s : s + 1] == "<" or bool(_PAGE_TAG.search(source, s))
 
 
 def html_blocks(source: str) -> tuple[str, list[Block], list[tuple[str, int]]]:
@@ -259,7 +263,8 @@ def key_text(text: str, host: str) -> str:
 
 
 def key_hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+    """64-bit key of a text of words joined by blanks; its low byte is the number of words by four, at most 255."""
+    return (xxhash.xxh64_intdigest(text) & ~255 | min(255, text.count(" ") // 4)) - (1 << 63)
 
 
 def words_of(text: str) -> list[str]:

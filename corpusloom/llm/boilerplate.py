@@ -1,65 +1,53 @@
-"""Main content of pages: tag-path ratios select the content region, host repetition removes the template lines inside it."""
+"""Main content of pages: tag-path ratios, aggregated per host, select the content paths; host repetition removes the template lines inside them."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.blocks import POSITIONED, is_html, squeeze_host
-from corpusloom.llm.hostlines import repeated_keys, with_sets
-from corpusloom.llm.mainbody import finish, main_blocks, parse, structure, title_key
-from corpusloom.llm.pages import page_source
+from corpusloom.llm.blocks import POSITIONED
+from corpusloom.llm.hostlines import host_sets, with_sets
+from corpusloom.llm.layouts import hidden, page_layouts
 from corpusloom.operators.arrow import map_rows
 from corpusloom.session import materialize
 
-_LAYOUT = "kind string, id long, host string, title long, keys array<long>, flags array<int>, k1 array<long>, k2 array<long>, lo array<int>, hi array<int>"
 
-
-def page_layouts(pages: DataFrame) -> DataFrame:
-    """Each page as its blocks' flags, keys and places, without text; the only pass over the sources."""
-
-    def one(kind, rid, host, source):  # noqa: ANN001, ANN202
-        form, text = page_source(kind, source)
-        if not text or form == "html" and not is_html(text):
-            return []
-        h = squeeze_host(host)
-        _, blocks, boxes = parse(text, form)
-        rows = structure(blocks, boxes, form, h)
-        hi = [b.pos if form == "html" else int(b.path) for b in blocks]
-        lo = [b.pos if form == "markdown" or b.tag in POSITIONED else 0 for b in blocks]
-        return [(kind, rid, host, title_key(blocks, h), list({k for _, *ks in rows for k in ks if k}), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], lo, hi)]
-
-    return map_rows(pages.select("kind", "id", "host", "source"), _LAYOUT, one)
+def _decided(pages: DataFrame, extra: str, fn) -> DataFrame:  # noqa: ANN001
+    layouts = materialize(page_layouts(pages, extra, fn))
+    return with_sets(layouts.drop("keys", "stats", "title"), host_sets(layouts.select("kind", "host", "title", "keys", "stats")))
 
 
 def boilerplate_positions(pages: DataFrame) -> DataFrame:
     """(kind, id, pos) of what is outside the main body: line numbers of markdown, numbers of p, li and h1-h6 elements of html.
 
-    Pages with null or empty source, feeds and JSON give no rows; a page without a heading keeps what its text-heavy
-    paths hold; texts are processed whole. Rows delivered twice give their positions once.
+    Pages with null or empty source, feeds and JSON give no rows; a page on which none of its host's content paths
+    occurs keeps the section with most of its text; texts are processed whole. Rows delivered twice give their positions once.
     """
-    layouts = materialize(page_layouts(pages))
-    joined = with_sets(layouts.drop("keys"), repeated_keys(layouts.select("kind", "host", "title", "keys")))
 
-    def one(kind, rid, flags, k1, k2, lo, hi, freq):  # noqa: ANN001, ANN202
-        form = "markdown" if kind == "markdown" else "html"
-        hide = finish(list(zip(flags, k1, k2)), set(freq or ()), form)
-        out = [(kind, rid, p) for h, a, b in zip(hide, lo, hi) if h and a for p in range(a, b + 1)]
-        return [(kind, rid, sorted({p for _, _, p in out}))] if out else []
+    def places(page, form):  # noqa: ANN001, ANN202
+        if form == "html":
+            spans = [(b.pos if b.tag in POSITIONED else 0, b.pos) for b in page.blocks]
+        else:
+            spans = [(b.pos, int(b.path)) for b in page.blocks]
+        return (np.array(spans, np.int32).tobytes(),)
+
+    def one(kind, rid, spans, cells, freq, content):  # noqa: ANN001, ANN202
+        spans = np.frombuffer(spans, np.int32).reshape(-1, 2).tolist()
+        out = {p for h, (a, b) in zip(hidden(kind, cells, freq, content), spans) if h and a for p in range(a, b + 1)}
+        return [(kind, rid, sorted(out))] if out else []
 
-    found = map_rows(joined.select("kind", "id", "flags", "k1", "k2", "lo", "hi", "freq"), "kind string, id long, pos array<int>", one)
+    found = map_rows(_decided(pages, "spans binary", places).select("kind", "id", "spans", "cells", "freq", "content"), "kind string, id long, pos array<int>", one)
     return found.dropDuplicates(["kind", "id"]).select("kind", "id", F.explode("pos").alias("pos"))
 
 
 def main_content(pages: DataFrame) -> DataFrame:
     """(kind, id, title, text): the main body alone, blocks joined by blank lines; pages without one give no row."""
-    layouts = materialize(page_layouts(pages).select("kind", "host", "title", "keys"))
-    joined = with_sets(pages.select("kind", "id", "host", "source"), repeated_keys(layouts))
 
-    def one(kind, rid, host, source, freq):  # noqa: ANN001, ANN202
-        form, text = page_source(kind, source)
-        title, blocks = main_blocks(text, form, squeeze_host(host), set(freq or ()))
-        body = "\n\n".join(b.text for b in blocks if not b.hide and b.text)
-        return [(kind, rid, title, body)] if body else []
+    def one(kind, rid, head, texts, cells, freq, content):  # noqa: ANN001, ANN202
+        body = "\n\n".join(t for t, h in zip(texts, hidden(kind, cells, freq, content)) if t and not h)
+        return [(kind, rid, head, body)] if body else []
 
-    return map_rows(joined.select("kind", "id", "host", "source", "freq"), "kind string, id long, title string, text string", one).dropDuplicates(["kind", "id"])
+    layouts = _decided(pages, "head string, texts array<string>", lambda page, form: (page.title, [b.text for b in page.blocks]))
+    rows = layouts.select("kind", "id", "head", "texts", "cells", "freq", "content")
+    return map_rows(rows, "kind string, id long, title string, text string", one).dropDuplicates(["kind", "id"])

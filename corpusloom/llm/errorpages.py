@@ -4,132 +4,128 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.blocks import is_html, key_hash, key_text, squeeze_host, words_of
-from corpusloom.llm.hostlines import repeated_keys, with_sets
-from corpusloom.llm.mainbody import EMPTY, H1, HIDE, finish, parse, structure, title_key
-from corpusloom.llm.pages import host_of, page_source
+from corpusloom.llm.blocks import key_hash, key_text, words_of
+from corpusloom.llm.hostlines import host_sets, with_sets
+from corpusloom.llm.layouts import hidden, page_layouts
+from corpusloom.llm.mainbody import EMPTY, H1
+from corpusloom.llm.pages import host_of
 from corpusloom.llm.residue import PLACEHOLDER
 from corpusloom.operators.arrow import map_rows
 from corpusloom.session import materialize
 
-#: A main body of fewer words carries little information; a message in a body of up to LOW words may be the page's message.
-TINY, LOW = 30, 60
+#: A body is low in information under so many words, or under this part of the host's median.
+LOW, PART = 30, 0.2
+#: Different addresses under one title, and different titles over one body, that make it a shared one.
+ADDRESSES, TITLES = 3, 2
+#: Letters of a term that is compared, and terms compared of a heading or an address.
+TERM, TERMS = 4, 24
 #: Words of filler that make a paragraph filler, and their least share.
 FILLER_WORDS, FILLER_SHARE = 8, 0.75
 
-# Terms of error, block, script and filler messages in the languages of the data.
-MESSAGE = re.compile(
-    r"not found|nicht gefunden|introuvable|no encontrad[oa]|does not (?:lead|exist)|gibt es nicht|ne mène nulle part|n'existe p(?:as|lus)|ya no existe|no existe|never existed|gone stale|has moved|"
-    r"access denied|accès refusé|acceso denegado|zugriff verweigert|permission|keine berechtigung|n'avez pas le droit|no tiene permiso|forbidden|unauthori[sz]ed|"
-    r"internal (?:server )?error|erreur interne|interner fehler|error interno|something (?:broke|went wrong)|incident est survenu|schiefgelaufen|ha fallado|could not connect|database connection|"
-    r"unavailable|indisponible|nicht erreichbar|no disponible|maintenance|wartung|mantenimiento|session (?:expired|has timed out)|timed out|sitzung abgelaufen|session expirée|sesión (?:ha )?caducad|"
-    r"javascript|scripts?\b.{0,40}(?:run|enable|turn|switch|allow|page)|scripting|skripte|enable|aktivieren|activer|active\b|necesita scripts|besoin de scripts|modern browser|loading\.\.\.|"
-    r"just a moment|checking your (?:connection|browser)|einen moment|un instant|un momento|captcha|are you (?:a )?human|robot check|too many requests|rate limit|blocked|ray \d|"
-    r"coming soon|under construction|bald verfügbar|im aufbau|bientôt|en construction|próximamente|en construcción|lorem ipsum|placeholder|sample (?:text|page)|example page|your content goes here|"
-    r"replace this text|edit me|ignore this|test test|beispieltext|blindtext|texte? d'exemple|texto de (?:ejemplo|relleno)|hello world|still empty|oops|please try again|sign in again|please log ?in",
-    re.I,
-)
-# A sentence that by itself is filler.
-FILLER_SENTENCE = re.compile(
-    r"^(?:your content goes here|replace this text|sample text block|placeholder paragraph|section under construction|coming soon\b|test test test|this is an example page|insert (?:text|content) here|add your text here|lorem ipsum dolor sit amet)",
-    re.I,
-)
-# The words of the usual Latin filler, and of keyboard filler.
+# The words of the usual Latin filler, and words programmers put in the place of real ones.
 LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
-KEYS = frozenset("asdf qwer zxcv hjkl uiop lkjh poiu mnbv qwerty wxyz abc xyz xxx xxxx yyyy zzzz aaaa 1234 12345 foo bar baz qux bla blah blub dummy test sample text jkl fdsa".split())
+STAND_INS = frozenset("foo bar baz qux quux bla blah blub dummy test sample text xyz".split())
+# The rows of a keyboard, the alphabet and the digits, along which filler is typed.
+_RUNS = ("qwertyuiop", "qwertzuiop", "azertyuiop", "asdfghjkl", "zxcvbnm", "yxcvbnm", "abcdefghijklmnopqrstuvwxyz", "1234567890")
+_PAIRS = frozenset(p for r in _RUNS for a, b in zip(r, r[1:]) for p in (a + b, b + a)) | frozenset(c + c for c in "abcdefghijklmnopqrstuvwxyz0123456789")
+_MAY_HOLD = re.compile(r"[{%$@<\[]|__|TODO|FIXME")
+
+
+def typed_along(word: str) -> bool:
+    """Whether a word of three letters or more runs along a keyboard row, the alphabet or one key."""
+    return len(word) >= 3 and all(a + b in _PAIRS for a, b in zip(word, word[1:]))
 
 
 def is_filler(text: str) -> bool:
-    """Whether a paragraph is filler: Latin or keyboard filler by its share of such words, or a known filler sentence."""
-    if FILLER_SENTENCE.match(text.lstrip("*_`> ")):
-        return True
+    """Whether a paragraph is filler: Latin filler, or keyboard runs and stand-in words, by their share of its words."""
     w = words_of(text)
     if len(w) < FILLER_WORDS:
         return False
-    return sum(x in LOREM for x in w) >= FILLER_SHARE * len(w) or sum(x in KEYS for x in w) >= FILLER_SHARE * len(w)
+    return sum(x in LOREM for x in w) >= FILLER_SHARE * len(w) or sum(x in STAND_INS or typed_along(x) for x in w) >= FILLER_SHARE * len(w)
 
 
-def slug_of(url: str | None) -> set[str]:
-    path = re.sub(r"^[a-z]+://[^/]*", "", url or "", flags=re.I).split("?")[0].rstrip("/")
-    return {w for w in words_of(re.sub(r"\.[a-z]{2,5}$", "", path.rsplit("/", 1)[-1])) if not w.isdigit()}
+def address_words(url: str | None) -> list[str]:
+    path = re.sub(r"^[a-z]+://[^/]*", "", url or "", flags=re.I).split("?")[0].split("#")[0].rstrip("/")
+    return [w for w in words_of(re.sub(r"\.[a-z]{2,5}$", "", path.rsplit("/", 1)[-1])) if not w.isdigit()]
 
 
-_ROW = "kind string, id long, host string, title long, keys array<long>, marked array<long>, small boolean, flags array<int>, k1 array<long>, k2 array<long>, words array<int>, texts array<long>, message array<boolean>, mismatch boolean, status int"
+def _terms(words: list[str]) -> list[str]:
+    return list(dict.fromkeys(w for w in words if len(w) >= TERM and not w.isdigit()))[:TERMS]
 
 
 def page_signs(pages: DataFrame) -> DataFrame:
-    """What each page shows of templates and messages: the only pass over the sources. pages: (kind, id, host, url, status, source)."""
-
-    def one(kind, rid, host, url, status, source):  # noqa: ANN001, ANN202
-        form, text = page_source(kind, source)
-        if not text or form == "html" and not is_html(text):
-            return []
-        h = squeeze_host(host)
-        title, blocks, boxes = parse(text, form)
-        rows = structure(blocks, boxes, form, h)
-        head = next((b.text for b in blocks if b.tag == "h1" and b.text), title)
-        marked = [0] if PLACEHOLDER.search(title) else []
-        words, message, texts = [], [], []
-        total = 0
-        for b, (f, _, _) in zip(blocks, rows):
-            n = 0 if f & (HIDE | H1 | EMPTY) else b.text.count(" ") + 1
-            total += n
-            if not f & HIDE and not b.code and b.prose and (PLACEHOLDER.search(" ".join(b.prose.split())) or is_filler(b.text)):
-                marked.append(b.key if b.key else 1)
-        small = total <= 4 * LOW
-        if small:
-            for b, (f, _, _) in zip(blocks, rows):
-                words.append(0 if f & (HIDE | H1 | EMPTY) else len(words_of(b.text)))
-                message.append(not f & (HIDE | EMPTY) and bool(MESSAGE.search(b.text.replace("*", "").replace("`", "").replace("\n", " "))))
-                texts.append(0 if f & (HIDE | H1 | EMPTY) else key_hash(key_text(b.text.replace("*", "").replace("`", ""), h)))
-        s = slug_of(url)
-        mismatch = bool(s) and not s & set(words_of(head))
-        cols = ([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]) if small else ([], [], [])
-        return [(kind, rid, host, title_key(blocks, h), list({k for _, *ks in rows for k in ks if k}), marked, small, *cols, words, texts, message, mismatch, status)]
-
-    return map_rows(pages.select("kind", "id", "host", "url", "status", "source"), _ROW, one)
+    """What each page shows of placeholders and of its heading's and address's terms, block by block: the only pass over the sources. pages: (kind, id, host, url, status, source)."""
+
+    def signs(page, form, url, status):  # noqa: ANN001, ANN202
+        head = next((b.text for b in page.blocks if b.tag == "h1" and b.text), page.title)
+        own = words_of(head)
+        said, named = _terms(own), _terms(address_words(url))
+        bits = [(t, 1 << i) for i, t in enumerate(said)] + [(t, 1 << (TERMS + i)) for i, t in enumerate(named)]
+        rows = []
+        for b, (f, k, _, _) in zip(page.blocks, page.rows):
+            mark = cover = size = body = 0
+            if not f & EMPTY:
+                if not b.code and b.prose and (_MAY_HOLD.search(b.prose) and PLACEHOLDER.search(" ".join(b.prose.split())) or is_filler(b.text)):
+                    mark = 1
+                if not f & H1:
+                    low = b.text.lower()
+                    size = low.count(" ") + low.count("\n") + 1
+                    body = k or key_hash(key_text(low, page.host))
+                    for t, bit in bits:
+                        if t in low:
+                            cover |= bit
+            rows.append((mark, size, body, cover))
+        address = key_hash(re.split(r"[?#]", url or "")[0].rstrip("/"))
+        return np.array(rows, np.int64).tobytes(), bool(PLACEHOLDER.search(page.title)), bool(said), bool(named), key_hash(" ".join(own)) if own else 0, address, status
+
+    extra = "signs binary, marked boolean, said boolean, named boolean, head long, address long, status int"
+    return page_layouts(pages, extra, signs, ("url", "status"), plain=True)
 
 
 def unusable_pages(pages: DataFrame) -> DataFrame:
     """(kind, id, reason): records to drop. reason is template, or message.
 
     template: an unfilled placeholder or a filler paragraph stands in the title or prose. message: the main body holds
-    little and speaks of an error, a block, scripts or filler, or is a body that pages with other titles have too, or
-    stands under another title than its address or under an error status. Empty sources, feeds and JSON give no rows.
+    little against the pages of its host, and it names no term of its heading or of its address, or its heading stands
+    over ADDRESSES addresses or its text under TITLES headings, or the response failed; or, at any length, the body names
+    no term of heading and address and the heading stands over many addresses. Empty sources, feeds and JSON give no
+    rows; text without any tag is a page of one block; rows delivered twice count once.
     """
     rows = materialize(page_signs(pages))
-    sets = repeated_keys(rows.select("kind", "host", "title", "keys"))
-    x = with_sets(rows.where(F.col("small") | (F.size("marked") > 0)).drop("keys"), sets)
-
-    def one(kind, rid, title, marked, small, flags, k1, k2, words, texts, message, mismatch, status, freq):  # noqa: ANN001, ANN202
-        often = set(freq or ())
-        template = any(k not in often for k in marked)
-        size, said, body = -1, False, 0
-        if small:
-            hide = finish(list(zip(flags, k1, k2)), often, "markdown" if kind == "markdown" else "html")
-            size = sum(w for w, h in zip(words, hide) if not h)
-            said = any(m for m, h in zip(message, hide) if not h)
-            body = hash(tuple(t for t, h in zip(texts, hide) if t and not h))
-        if not template and (size < 0 or size >= LOW):
-            return []
-        return [(kind, rid, title, template, size, said, body, bool(mismatch), (status or 0) >= 400)]
+    sets = host_sets(rows.select("kind", "host", "title", "keys", "stats"))
+    x = with_sets(rows.drop("keys", "stats", "title"), sets)
+
+    def one(kind, rid, host, signs, cells, marked, said, named, head, address, status, freq, content):  # noqa: ANN001, ANN202
+        hide = hidden(kind, cells, freq, content)
+        shown = [r for r, h in zip(np.frombuffer(signs, np.int64).reshape(-1, 4).tolist(), hide) if not h]
+        cover = 0
+        for r in shown:
+            cover |= r[3]
+        heads, names = cover & ((1 << TERMS) - 1), cover >> TERMS
+        body = hash(tuple(r[2] for r in shown if r[2]))
+        return [(kind, rid, host, marked or any(r[0] for r in shown), sum(r[1] for r in shown), heads == 0, named and names == 0, body, head, address, (status or 0) >= 400)]
 
     c = map_rows(
-        x.select("kind", "id", "title", "marked", "small", "flags", "k1", "k2", "words", "texts", "message", "mismatch", "status", "freq"),
-        "kind string, id long, title long, template boolean, size int, said boolean, body long, mismatch boolean, failed boolean",
+        x.select("kind", "id", "host", "signs", "cells", "marked", "said", "named", "head", "address", "status", "freq", "content"),
+        "kind string, id long, host string, template boolean, size int, unsaid boolean, unnamed boolean, body long, head long, address long, failed boolean",
         one,
-    ).dropDuplicates(["kind", "id"])
-    c = materialize(c)
-    shared = c.where((F.col("size") >= 0) & (F.col("size") < TINY)).select("kind", "body", "title").distinct().groupBy("kind", "body").agg(F.count("*").alias("titles"))
-    c = c.join(shared, ["kind", "body"], "left")
-    tiny = (F.col("size") >= 0) & (F.col("size") < TINY)
-    message = tiny & (F.col("said") | F.col("mismatch") | F.col("failed") | (F.coalesce("titles", F.lit(0)) >= 3)) | (F.col("size") >= TINY) & F.col("said") & (F.col("failed") | F.col("mismatch"))
-    return c.withColumn("message", message).where(F.col("template") | F.col("message")).select("kind", "id", F.when(F.col("message"), "message").otherwise("template").alias("reason"))
+    )
+    c = materialize(c.dropDuplicates(["kind", "id"]))
+    usual = c.groupBy("kind", "host").agg(F.percentile_approx("size", 0.5, 100).alias("usual")).select(F.col("kind").alias("_k"), F.col("host").alias("_h"), "usual")
+    over = c.where("head <> 0").select("kind", "head", "address").distinct().groupBy("kind", "head").agg(F.count("*").alias("addresses")).where(F.col("addresses") >= ADDRESSES)
+    under = c.select("kind", "body", "head").distinct().groupBy("kind", "body").agg(F.count("*").alias("heads")).where(F.col("heads") >= TITLES)
+    x = c.join(usual, (F.col("kind") == F.col("_k")) & F.col("host").eqNullSafe(F.col("_h")), "left").drop("_k", "_h")
+    x = x.join(over, ["kind", "head"], "left").join(under, ["kind", "body"], "left")
+    low = F.col("size") < F.greatest(F.lit(LOW), PART * F.col("usual"))
+    shared = F.col("addresses").isNotNull()
+    message = low & (F.col("unsaid") | F.col("unnamed") | shared | F.col("heads").isNotNull() | F.col("failed")) | F.col("unsaid") & F.col("unnamed") & shared
+    return x.withColumn("message", message).where(F.col("template") | F.col("message")).select("kind", "id", F.when(F.col("message"), "message").otherwise("template").alias("reason"))
 
 
 def signed_pages(page_store: DataFrame, page_markdown: DataFrame) -> DataFrame:

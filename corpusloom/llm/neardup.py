@@ -7,16 +7,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.blocks import is_html, squeeze_host
-from corpusloom.llm.hostlines import repeated_keys, with_sets
+from corpusloom.llm.hostlines import host_sets, with_sets
+from corpusloom.llm.layouts import hidden, page_layouts
 from corpusloom.llm.leakage import window_keys, word_hashes
-from corpusloom.llm.mainbody import HIDE, finish, parse, structure, title_key
-from corpusloom.llm.pages import page_source
 from corpusloom.operators.arrow import map_rows
 from corpusloom.session import BROADCAST_LIMIT, materialize
 
 #: Registers of a signature and rows of a band: a pair of Jaccard 0.6 shares a band with probability 0.988, of 0.7 with 0.9999, of 0.8 with 1 - 5e-8.
 REGISTERS, ROWS = 128, 4
+#: Bodies of a band that are joined at once; larger bands are compared block by block.
+BLOCK = 256
 #: Mantissa bits kept beside the leading-zero count of a register.
 MANTISSA = 10
 _rng = np.random.default_rng(20240229)
@@ -62,82 +62,99 @@ def _bands(sig: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(sig[i : i + ROWS].tobytes(), seed=i) - (1 << 63) for i in range(0, REGISTERS, ROWS)]
 
 
-_WORDS = "kind string, id long, host string, title long, keys array<long>, flags array<int>, k1 array<long>, k2 array<long>, counts array<int>, words binary"
-
-
 def page_words(pages: DataFrame) -> DataFrame:
-    """Each page as its blocks' flags and keys and 32-bit hashes of their words: the only pass over the sources."""
-
-    def one(kind, rid, host, source):  # noqa: ANN001, ANN202
-        form, text = page_source(kind, source)
-        if not text or form == "html" and not is_html(text):
-            return []
-        h = squeeze_host(host)
-        _, blocks, boxes = parse(text, form)
-        rows = structure(blocks, boxes, form, h)
-        words, at = word_hashes(["" if f & HIDE else b.text for b, (f, _, _) in zip(blocks, rows)])
-        counts = np.bincount(at, minlength=len(blocks)).tolist() if len(at) else [0] * len(blocks)
-        return [(kind, rid, host, title_key(blocks, h), list({k for _, *ks in rows for k in ks if k}), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], counts, words.astype(np.uint32).tobytes())]
+    """Each page's layout with 32-bit hashes of its words and their number in each block: the only pass over the sources."""
 
-    return map_rows(pages.select("kind", "id", "host", "source"), _WORDS, one)
+    def words(page, form):  # noqa: ANN001, ANN202
+        w, at = word_hashes([b.text for b in page.blocks])
+        counts = np.bincount(at, minlength=len(page.blocks)).astype(np.int32)
+        return counts.tobytes(), w.astype(np.uint32).tobytes()
 
+    return page_layouts(pages, "counts binary, words binary", words)
 
-def _body(kind: str, flags: list[int], k1: list[int], k2: list[int], counts: list[int], words: bytes, freq: list[int] | None) -> np.ndarray:
-    hide = finish(list(zip(flags, k1, k2)), set(freq or ()), "markdown" if kind == "markdown" else "html")
-    return np.frombuffer(words, np.uint32)[np.repeat(~np.array(hide, np.bool_), counts)] if counts else np.empty(0, np.uint32)
 
+def _registers(df: DataFrame, side: str) -> DataFrame:
+    return df.select("kind", F.col("body").alias(side), F.col("size").alias(f"n{side}"), F.col("registers").alias(f"r{side}"))
 
-_COLS = ("kind", "id", "flags", "k1", "k2", "counts", "words", "freq")
 
+def _candidates(reps: DataFrame, least: float) -> DataFrame:
+    """(kind, a, b): bodies with a < b that share a band of registers and whose estimate reaches least.
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """(kind, a, b): bodies with a < b that share a band. Buckets of one body make no pair; the bands are shuffled once."""
-    b = reps.select("kind", "body", F.explode("bands").alias("h")).repartition("kind", "h")
-    n = b.groupBy("kind", "h").agg(F.count("*").alias("c"), F.min("body").alias("a"), F.max("body").alias("b")).where("c > 1 and a < b")
+    Bands of up to BLOCK bodies are joined by themselves, with 16 bytes a row, and the registers of the pairs found are
+    compared. A larger band is cut into blocks of about BLOCK bodies by their hash; its blocks carry their registers, and
+    each pair of blocks is one row of work, compared in numpy, so that no task holds a band and only what passes is emitted.
+    """
+    bands = reps.select("kind", "body", F.explode("bands").alias("h"))
+    n = bands.groupBy("kind", "h").agg(F.count("*").alias("c"), F.min("body").alias("a"), F.max("body").alias("b")).where("c > 1")
+    n = materialize(n)
     two = n.where("c = 2").select("kind", "a", "b")
-    more = b.join(n.where("c > 2").select("kind", "h"), ["kind", "h"], "left_semi")
+    more = bands.join(n.where(F.col("c").between(3, BLOCK)).select("kind", "h"), ["kind", "h"], "left_semi")
     x, y = more.alias("x"), more.alias("y")
     many = x.join(y, (F.col("x.kind") == F.col("y.kind")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.body") < F.col("y.body"))).select(F.col("x.kind").alias("kind"), F.col("x.body").alias("a"), F.col("y.body").alias("b"))
-    return two.unionByName(many).distinct()
-
-
-def near_duplicates(pages: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 40) -> tuple[DataFrame, DataFrame]:
+    few = two.unionByName(many).distinct().join(_registers(reps, "a"), ["kind", "a"]).join(_registers(reps, "b"), ["kind", "b"])
+
+    def near(kind, a, b, na, nb, ra, rb):  # noqa: ANN001, ANN202
+        j = estimate(np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16), na, nb)
+        return [(kind, a, b)] if j >= least and min(na, nb) >= least * max(na, nb) else []
+
+    few = map_rows(few.select("kind", "a", "b", "na", "nb", "ra", "rb"), "kind string, a long, b long", near)
+    hot = bands.join(n.where(F.col("c") > BLOCK).select("kind", "h", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts")), ["kind", "h"])
+    hot = hot.withColumn("part", F.pmod(F.xxhash64("body"), F.col("parts")).cast("int")).join(reps.select("kind", "body", "size", "registers"), ["kind", "body"])
+    block = hot.groupBy("kind", "h", "part").agg(F.array_sort(F.collect_list(F.struct("body", "size", "registers"))).alias("rows"))
+    block = block.select("kind", "h", "part", F.col("rows.body").alias("ids"), F.col("rows.size").alias("sizes"), F.array_join(F.transform("rows.registers", F.hex), "").alias("regs"))
+    p, q = block.alias("p"), block.alias("q")
+    work = p.join(q, (F.col("p.kind") == F.col("q.kind")) & (F.col("p.h") == F.col("q.h")) & (F.col("p.part") <= F.col("q.part"))).select(F.col("p.kind").alias("kind"), "p.ids", "p.sizes", "p.regs", F.col("q.ids").alias("ids2"), F.col("q.sizes").alias("sizes2"), F.col("q.regs").alias("regs2"))
+
+    def blocks(kind, ids, sizes, regs, ids2, sizes2, regs2):  # noqa: ANN001, ANN202
+        r2 = np.frombuffer(bytes.fromhex(regs2), np.uint16).reshape(len(ids2), REGISTERS)
+        ids2, m = np.array(ids2), np.array(sizes2, np.float64)
+        out = []
+        for i, n, r in zip(ids, sizes, np.frombuffer(bytes.fromhex(regs), np.uint16).reshape(len(ids), REGISTERS)):
+            chance = 1.44 * n * m / (n + m) ** 2 / (1 << MANTISSA)
+            j = ((r2 == r).mean(axis=1) - chance) / (1 - chance)
+            for k in ids2[(j >= least) & (np.minimum(n, m) >= least * np.maximum(n, m))].tolist():
+                if i != k:
+                    out.append((kind, min(i, k), max(i, k)))
+        return out
+
+    return few.unionByName(map_rows(work, "kind string, a long, b long", blocks)).distinct()
+
+
+def near_duplicates(pages: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 0) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (kind, id, body) gives each record the class of its exact body; links (kind, a, b, jaccard) joins classes.
 
-    Copies of one body are one class and are never paired with each other, however many there are. Links are symmetric
-    and listed with a < b. Records without a body of min_words words are in neither; an empty table gives empty results.
+    Registers are stored with each body, banded, and compared by the collision-corrected estimate; only what passes it
+    with a slack of four standard errors has its whole shingle sets compared. Copies of one body are one class and are
+    never paired with each other, however many there are. Links are listed with a < b. Records without a body of
+    min_words words (or of one run of width words) are in neither; an empty table gives empty results.
     """
     words = materialize(page_words(pages))
-    known = with_sets(words.drop("keys"), repeated_keys(words.select("kind", "host", "title", "keys"))).select(*_COLS)
+    known = with_sets(words.drop("keys", "stats", "title"), host_sets(words.select("kind", "host", "title", "keys", "stats")))
 
-    def signed(kind, rid, *rest):  # noqa: ANN001, ANN202
-        w = _body(kind, *rest)
+    def signed(kind, rid, cells, counts, words, freq, content):  # noqa: ANN001, ANN202
+        shown = ~np.array(hidden(kind, cells, freq, content), np.bool_)
+        w = np.frombuffer(words, np.uint32)
+        if len(shown):
+            w = w[np.repeat(shown, np.frombuffer(counts, np.int32))]
         if len(w) < max(min_words, width):
             return []
-        return [(kind, rid, xxhash.xxh64_intdigest(w.tobytes()) - (1 << 63), _bands(signature(shingle_hashes(w, width))))]
-
-    bodies = materialize(map_rows(known, "kind string, id long, body long, bands array<long>", signed).dropDuplicates(["kind", "id"]))
-    members = bodies.select("kind", "id", "body")
-    reps = bodies.groupBy("kind", "body").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    pairs = materialize(_candidates(reps))
-    wanted = pairs.select("kind", F.col("a").alias("body")).unionByName(pairs.select("kind", F.col("b").alias("body"))).distinct()
-    wanted = materialize(members.groupBy("kind", "body").agg(F.min("id").alias("id")).join(wanted, ["kind", "body"]))
-    size = wanted.count() * 48
-
-    def shingled(kind, rid, *rest):  # noqa: ANN001, ANN202
-        *rest, body = rest
-        return [(kind, body, shingle_hashes(_body(kind, *rest), width).tobytes())]
-
-    chosen = known.join(F.broadcast(wanted) if size <= BROADCAST_LIMIT else wanted, ["kind", "id"])
-    sets = materialize(map_rows(chosen.select(*_COLS, "body"), "kind string, body long, shingles binary", shingled).dropDuplicates(["kind", "body"]))
+        s = shingle_hashes(w, width)
+        r = signature(s)
+        return [(kind, rid, xxhash.xxh3_64_intdigest(w.tobytes()) - (1 << 63), len(s), r.tobytes(), _bands(r), s.tobytes())]
+
+    row = "kind string, id long, body long, size int, registers binary, bands array<long>, shingles binary"
+    bodies = materialize(map_rows(known.select("kind", "id", "cells", "counts", "words", "freq", "content"), row, signed))
+    members = bodies.select("kind", "id", "body").distinct()
+    reps = materialize(bodies.groupBy("kind", "body").agg(F.first("size").alias("size"), F.first("registers").alias("registers"), F.first("bands").alias("bands")))
+    pairs = materialize(_candidates(reps, threshold - 4 * (threshold * (1 - threshold) / REGISTERS) ** 0.5))
+    wanted = materialize(pairs.select("kind", F.col("a").alias("body")).unionByName(pairs.select("kind", F.col("b").alias("body"))).distinct())
+    sets = bodies.select("kind", "body", "id", "shingles").join(F.broadcast(wanted) if wanted.count() * 48 <= BROADCAST_LIMIT else wanted, ["kind", "body"], "left_semi")
+    sets = sets.groupBy("kind", "body").agg(F.first("shingles").alias("shingles"))
     left = sets.select("kind", F.col("body").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select("kind", F.col("body").alias("b"), F.col("shingles").alias("sb"))
-    slack = 4 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
 
     def compared(kind, a, b, sa, sb):  # noqa: ANN001, ANN202
         x, y = np.frombuffer(sa, np.uint32), np.frombuffer(sb, np.uint32)
-        if min(len(x), len(y)) < threshold * max(len(x), len(y)) or estimate(signature(x), signature(y), len(x), len(y)) < threshold - slack:
-            return []
         both = len(np.intersect1d(x, y, assume_unique=True))
         j = both / (len(x) + len(y) - both)
         return [(kind, a, b, j)] if j >= threshold else []

@@ -57,30 +57,57 @@ def markup_kinds(prose: str, form: str) -> list[str]:
     return out
 
 
-def subtree_keys(blocks: list[Block], boxes: list[tuple[str, int]], host: str) -> tuple[list[int], list[list[int]]]:
-    """(key of each block's own element, keys of the subtrees around it): a subtree's key is the hash of its texts in order."""
-    own = []
-    for b in blocks:
+def subtree_keys(blocks: list[Block], boxes: list[tuple[str, int]], host: str, form: str) -> tuple[list[int], list[list[int]]]:
+    """(key of each block's own element, keys of the subtrees around it).
+
+    A subtree's key is the hash of its root's tag and attributes and of its children in source order, each child a
+    block with its tag, attribute and text or a subtree of its own; digits are masked. In markdown a heading is the root
+    of what follows it up to the next heading of its rank. The low byte holds the number of words by four.
+    """
+    if form == "markdown":
+        boxes, places, levels = [("", -1)], [], [("", 0)]
+        for b in blocks:
+            if b.tag[0] == "h" and b.tag[1:].isdigit():
+                while len(levels) > 1 and levels[-1][0] >= b.tag:
+                    levels.pop()
+                boxes.append((b.tag, levels[-1][1]))
+                levels.append((b.tag, len(boxes) - 1))
+            places.append(levels[-1][1])
+    else:
+        places = [b.box for b in blocks]
+    own: list[int] = []
+    parts: list[list] = [[] for _ in boxes]
+    size = [0] * len(boxes)
+    attached = [i == 0 for i in range(len(boxes))]
+    chains: list[list[int]] = []
+    for b, at in zip(blocks, places):
         block_keys(b, host)
-        own.append(b.key or key_hash(b.text))
-    sub = [xxhash.xxh64(str(i)) if i == 0 else xxhash.xxh64() for i in range(len(boxes))]
-    chains = []
-    for b, k in zip(blocks, own):
-        chain, i = [], b.box
+        k = b.key or key_hash(b.text)
+        own.append(k)
+        parts[at].append(f"{b.tag}.{b.attr}:{k}")
+        chain, i, n = [], at, b.text.count(" ") + 1 if b.text else 0
         while i > 0:
             chain.append(i)
-            sub[i].update(k.to_bytes(8, "little", signed=True))
-            i = boxes[i][1]
+            size[i] += n
+            up = boxes[i][1]
+            if not attached[i]:
+                attached[i] = True
+                parts[up].append(i)
+            i = up
         chains.append(chain)
-    keys = [x.intdigest() - (1 << 63) for x in sub]
+    keys = [0] * len(boxes)
+    for i in range(len(boxes) - 1, 0, -1):  # children are numbered after their parents
+        if parts[i]:
+            inner = "|".join(str(keys[x]) if isinstance(x, int) else x for x in parts[i])
+            keys[i] = (xxhash.xxh64_intdigest(f"<{_DIGIT_RUN.sub('0', boxes[i][0])}>{inner}") & ~255 | min(255, size[i] // 4)) - (1 << 63)
     return own, [[keys[i] for i in c] for c in chains]
 
 
-_ROW = "kind string, id long, host string, title long, keys array<long>, residue array<struct<k:long,boxes:array<long>,m:string>>"
+_ROW = "kind string, id long, host string, title long, keys array<long>, residue array<struct<k:long,boxes:array<long>,m:string>>, cells array<struct<k:long,boxes:array<long>,t:string>>"
 
 
-def residue_records(pages: DataFrame) -> DataFrame:
-    """Each page's subtree keys and the markup found in its prose; the only pass over the sources."""
+def residue_records(pages: DataFrame, texts: bool = False) -> DataFrame:
+    """Each page's subtree keys, the markup found in its prose and, where wanted, its cleaned blocks; the only pass over the sources."""
 
     def one(kind, rid, host, source):  # noqa: ANN001, ANN202
         form, text = page_source(kind, source)
@@ -88,31 +115,44 @@ def residue_records(pages: DataFrame) -> DataFrame:
             return []
         h = squeeze_host(host)
         _, blocks, boxes = parse(text, form)
-        own, around = subtree_keys(blocks, boxes, h)
-        found = []
+        own, around = subtree_keys(blocks, boxes, h, form)
+        found, cells = [], []
         for b, k, s in zip(blocks, own, around):
             if not b.code and b.prose and b.tag != "td":
                 found.extend({"k": k, "boxes": s, "m": m} for m in markup_kinds(b.prose, form))
+            if texts and b.text:
+                cells.append({"k": k, "boxes": s, "t": _rendered(b, form)})
         keys = {b.key for b in blocks if b.key} | {k for s in around for k in s}
-        return [(kind, rid, host, title_key(blocks, h), list(keys), found)]
+        return [(kind, rid, host, title_key(blocks, h), list(keys), found, cells)]
 
     return map_rows(pages.select("kind", "id", "host", "source"), _ROW, one)
 
 
+def _without_recurring(pages: DataFrame, texts: bool) -> DataFrame:
+    """Records with freq, the keys of the lines and subtrees that recur across their host."""
+    rows = materialize(residue_records(pages, texts))
+    often = repeated_keys(rows.select("kind", "host", "title", "keys")).groupBy("kind", "host").agg(F.collect_set("key").alias("freq"))
+    some = rows if texts else rows.where(F.size("residue") > 0)
+    return with_sets(some.drop("keys", "title"), often).withColumn("freq", F.coalesce("freq", F.array().cast("array<long>")))
+
+
+def _own(cells: str) -> F.Column:
+    """The entries that lie in no recurring subtree or line."""
+    return F.filter(cells, lambda r: ~F.array_contains("freq", r["k"]) & ~F.arrays_overlap(r["boxes"], F.col("freq")))
+
+
 def markup_residue(pages: DataFrame) -> DataFrame:
     """(kind, id, markup): kinds of markup that stand as text in the prose of a page's own content.
 
     Subtrees and lines that recur across a host are deleted first. Code samples, placeholders and table cells are no
     prose. Null or empty sources, feeds, and page_data that is no JSON give no rows; rows delivered twice count once.
     """
-    rows = materialize(residue_records(pages))
-    some = rows.where(F.size("residue") > 0).select("kind", "id", "host", "residue")
-    x = with_sets(some, repeated_keys(rows.select("kind", "host", "title", "keys"))).withColumn("freq", F.coalesce("freq", F.array().cast("array<long>")))
-    left = F.filter("residue", lambda r: ~F.array_contains("freq", r["k"]) & (F.size(F.array_intersect(r["boxes"], F.col("freq"))) == 0))
-    return x.select("kind", "id", F.explode(F.array_distinct(F.transform(left, lambda r: r["m"]))).alias("markup")).distinct()
+    x = _without_recurring(pages, False)
+    return x.select("kind", "id", F.explode(F.array_distinct(F.transform(_own("residue"), lambda r: r["m"]))).alias("markup")).distinct()
 
 
 _WIKI_LINK = re.compile(r"\[\[(?:(?:File|Image|Datei|Fichier|Archivo):[^\[\]|]*(?:\|[^\[\]|]*)*?\|?([^\[\]|]*)|(?:Category|Kategorie|Catégorie|Categoría):[^\[\]]*|(?:[^\[\]|]*\|)?([^\[\]|]*))\]\]")
+_DIGIT_RUN = re.compile(r"\d+")
 _TEX_KEEP = re.compile(r"\\(?:textbf|textit|emph|section|subsection|footnote|text|underline)\*?\{([^{}]*)\}")
 
 
@@ -132,28 +172,16 @@ def clean_text(text: str) -> str:
     return re.sub(r"[ \t ​]+", " ", t).strip()
 
 
-def clean_documents(pages: DataFrame) -> DataFrame:
-    """(kind, id, text, markup): clean text with headings as #, lists as -, code blocks fenced and formulas kept, without recurring subtrees."""
-    keys = materialize(residue_records(pages).select("kind", "host", "title", "keys"))
-    joined = with_sets(pages.select("kind", "id", "host", "source"), repeated_keys(keys))
+def _rendered(b: Block, form: str) -> str:
+    if b.code:
+        return "```\n" + b.prose.strip("\n") + "\n```" if form == "html" else "```" + b.text + "\n```"
+    lead = "#" * int(b.tag[1]) + " " if b.tag[0] == "h" and b.tag[1:].isdigit() else "- " if b.tag == "li" else "> " if b.tag in ("quote", "blockquote") else ""
+    return lead + clean_text(b.text)
 
-    def one(kind, rid, host, source, freq):  # noqa: ANN001, ANN202
-        form, text = page_source(kind, source)
-        if not text or form == "html" and not is_html(text):
-            return []
-        often = set(freq or ())
-        _, blocks, boxes = parse(text, form)
-        own, around = subtree_keys(blocks, boxes, squeeze_host(host))
-        out, kinds = [], set()
-        for b, k, s in zip(blocks, own, around):
-            if not b.text or k in often or not often.isdisjoint(s) or b.link >= 0.85 * len(b.text):
-                continue
-            if b.code:
-                out.append("```\n" + b.prose.strip("\n") + "\n```" if form == "html" else "```" + b.text + "\n```")
-                continue
-            kinds.update(markup_kinds(b.prose, form))
-            lead = "#" * int(b.tag[1]) + " " if b.tag[0] == "h" and b.tag[1:].isdigit() else "- " if b.tag == "li" else "> " if b.tag in ("quote", "blockquote") else ""
-            out.append(lead + clean_text(b.text))
-        return [(kind, rid, "\n\n".join(out), sorted(kinds))] if out else []
-
-    return map_rows(joined.select("kind", "id", "host", "source", "freq"), "kind string, id long, text string, markup array<string>", one).dropDuplicates(["kind", "id"])
+
+def clean_documents(pages: DataFrame) -> DataFrame:
+    """(kind, id, text, markup): clean text with headings as #, lists as -, code blocks fenced and formulas kept, without recurring subtrees; pages of which nothing is left give no row."""
+    x = _without_recurring(pages, True)
+    text = F.array_join(F.transform(_own("cells"), lambda r: r["t"]), "\n\n")
+    kinds = F.array_sort(F.array_distinct(F.transform(_own("residue"), lambda r: r["m"])))
+    return x.select("kind", "id", text.alias("text"), kinds.alias("markup")).where("text <> ''").dropDuplicates(["kind", "id"])
