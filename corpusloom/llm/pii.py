@@ -196,10 +196,41 @@ class Tagger:
         gs = (post[:, 0] - np.eye(k)[y[:, 0]]).sum(0) / b
         return [ge, (gt / b).astype(np.float32), gs.astype(np.float32)]
 
+    def _bounds(self) -> tuple[float, float]:
+        """(most that one more token of a mention can gain by its transition, most that a mention gains by entering and leaving beyond that)."""
+        tr = (self.trans + self.block).astype(np.float64)
+        inside, stay = float(tr[1:, 1:].max()), float(tr[0, 0])
+        enter = max(float(tr[0, 1:].max()) - stay, float((self.start[1::2] - self.start[0]).max()))
+        return inside - stay, enter + max(0.0, float(tr[1:, 0].max()) - stay) + max(0.0, stay - inside)
+
     def decode(self, seqs: list[list[int]]) -> list[np.ndarray]:
-        """Best label sequences by Viterbi, sentences of like length together."""
-        out: list[np.ndarray] = [np.empty(0, np.int8)] * len(seqs)
-        order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
+        """Best label sequences by Viterbi, sentences of like length together.
+
+        A sentence whose best mention cannot gain over no mention at all, by an upper bound on every run of its tokens,
+        has no mention and needs no search; the labels are the same as with it.
+        """
+        out: list[np.ndarray] = [np.zeros(len(s), np.int8) for s in seqs]
+        lengths = np.fromiter(map(len, seqs), np.int64, len(seqs))
+        if not lengths.sum():
+            return out
+        gap = 3
+        first_at = np.concatenate(([0], np.cumsum(lengths + gap)[:-1])) + gap
+        flat = np.full(int(lengths.sum()) + gap * (len(seqs) + 1), self.pad, np.int64)
+        place = np.arange(int(lengths.sum())) + np.repeat(gap * (np.arange(len(seqs)) + 1), lengths)
+        flat[place] = np.fromiter((i for s in seqs for i in s), np.int64, len(place))
+        e = self.emit[0][flat[place + OFFSETS[0]]]
+        for o in range(1, len(OFFSETS)):
+            e += self.emit[o][flat[place + OFFSETS[o]]]
+        step, edge = self._bounds()
+        gain = (e[:, 1:].max(1) - e[:, 0]).astype(np.float64) + max(step, 0.0)
+        owner = np.repeat(np.arange(len(seqs)), lengths)
+        begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        total = np.concatenate(([0.0], np.cumsum(gain)))
+        low = total[:-1] - owner * 1e7  # the least prefix sum of the same sentence: earlier sentences lie higher
+        best = total[1:] - (np.minimum.accumulate(low) + owner * 1e7)
+        may = np.zeros(len(seqs), np.bool_)
+        may[owner[best + edge > -1e-3]] = True
+        order = [i for i in np.argsort(lengths, kind="stable").tolist() if may[i]]
         lo = 0
         tr = self.trans + self.block
         first = self.start.copy()
@@ -210,29 +241,27 @@ class Tagger:
             while hi < len(order) and len(seqs[order[hi]]) <= max(n0 * 1.15, n0 + 2) and (hi - lo) * (n0 + 2) < 60_000:
                 hi += 1
             part = order[lo:hi]
-            t = max(len(seqs[i]) for i in part)
-            if t:
-                ids = np.full((len(part), t), self.pad, np.int64)
-                for r, i in enumerate(part):
-                    ids[r, : len(seqs[i])] = seqs[i]
-                e = self._scores(self._windows(ids))
-                best = e[:, 0] + first
-                back = np.zeros((len(part), t, len(LABELS)), np.int8)
-                stay = np.arange(len(LABELS), dtype=np.int8)
-                for i in range(1, t):
-                    s = best[:, :, None] + tr[None]
-                    arg = s.argmax(1)
-                    new = np.take_along_axis(s, arg[:, None, :], 1)[:, 0] + e[:, i]
-                    live = (ids[:, i] != self.pad)[:, None]
-                    best = np.where(live, new, best)
-                    back[:, i] = np.where(live, arg, stay)
-                y = best.argmax(1)
-                path = np.empty((len(part), t), np.int8)
-                for i in range(t - 1, -1, -1):
-                    path[:, i] = y
-                    y = back[np.arange(len(part)), i, y]
-                for r, i in enumerate(part):
-                    out[i] = path[r, : len(seqs[i])]
+            n = lengths[part]
+            t = int(n.max())
+            cell = np.minimum(np.arange(t)[None, :], n[:, None] - 1) + begin[part][:, None]
+            score = e[cell]
+            best_at = score[:, 0] + first
+            back = np.zeros((len(part), t, len(LABELS)), np.int8)
+            stay = np.arange(len(LABELS), dtype=np.int8)
+            for i in range(1, t):
+                s = best_at[:, :, None] + tr[None]
+                arg = s.argmax(1)
+                new = np.take_along_axis(s, arg[:, None, :], 1)[:, 0] + score[:, i]
+                live = (i < n)[:, None]
+                best_at = np.where(live, new, best_at)
+                back[:, i] = np.where(live, arg, stay)
+            y = best_at.argmax(1)
+            path = np.empty((len(part), t), np.int8)
+            for i in range(t - 1, -1, -1):
+                path[:, i] = y
+                y = back[np.arange(len(part)), i, y]
+            for r, i in enumerate(part):
+                out[i] = path[r, : len(seqs[i])]
             lo = hi
         return out
 
@@ -291,7 +320,10 @@ def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | Non
         v = v[m.end() :]
     if v.endswith(".") and not re.search(r"(?:^|[\s.])[^\W\d_]\.$", v):
         v = v[:-1]
-    if not v or not _NAME.fullmatch(v) or v.isupper() and len(v) < 6 or not all(w[0].isupper() or w in _PARTICLES for w in _ALPHA.findall(v)) or sum(w[0].isupper() for w in _ALPHA.findall(v)) < 2:
+    before, comma, after = v.partition(",")
+    if comma and before.partition(" ")[0].lower() in _GIVEN and " " in before and after.strip().partition(" ")[0].lower() not in _GIVEN:
+        v = before  # a full name before a comma is not the surname of what follows
+    if not v or not _NAME.fullmatch(v) or not all(w[0].isupper() or w in _PARTICLES for w in _ALPHA.findall(v)) or sum(w[0].isupper() for w in _ALPHA.findall(v)) < 2:
         return None
     at = text.index(v, start)
     return at, at + len(v)

@@ -1,8 +1,12 @@
-"""The small labelled table of the personal-data model: invented sentences whose mentions are marked, in four languages."""
+"""The small labelled table of the personal-data model: invented sentences whose mentions are marked, in four languages.
+
+Sentences, surnames, streets, towns and firms were written for this table; none is taken from a corpus the model is run on.
+"""
 
 from __future__ import annotations
 
 import random
+import re
 
 #: Rows of the table. The bound holds whatever the size of the corpus.
 ROWS = 6000
@@ -18,158 +22,197 @@ GIVEN = (
     "udo ulrich ursula urs uwe vera vicky victor victoria vince vincent walter wendy werner wilhelm will william wolfgang xavier yann yolanda yusuf yves zoe zoë zoé"
 ).split()
 
-_PARTS = "al bar bek bol bren cal cor dal dan del dor fal fen fro gar gel gom hal hen hob jas jor kal kel kip kri lan lem lor mab mel mir mor nad nel nor oda ost pav pel pim pla qua rab ren rig rud sab sel sim sot tab tel tir tov ult vab ven vil vor wan wes wim wot yar yel zan zep zim zor".split()
-
 # {n} a person, {e} a mailbox, {p} a phone, {i} a number of a document, {a} an address; other braces are unmarked filler.
 _EN = [
-    "Please write to {e} before {day}.", "Contact {n} at {e} or call {p}.", "Contact {n} at {e}.", "Send proofs to {e}, cc {e}.", "thanks, {n} ({e})", "Regards, {n}", "{n}", "{a}", "tel {p}", "Phone: {p}", "Call {p} today.", "Fax {p}, {n}",
-    "The applicant lives at {a} and gave {doc} {i}.", "Parcels go to {n}, {a}, and the courier rings {p}.", "Billing copy sent to {a}; questions to {e}.", "Keys are kept at {a}.", "The form was filed by {n} with {doc} {i}.", "A refund for {n} needs the {doc} {i}.",
-    "Witness {n} (born in {town}) showed {doc} {i} at the desk.", "ID check: {doc} {i}, tel. {p}.", "You can reach the night shift on {p} until the {prod} outage ends.", "Dear {n}, your {noun} quota was raised.", "Posted by {n} after the meeting.", "{n} and {n} reviewed the {prod} patch.",
-    "The bug report by {n} reached {e} last night.", "According to {n}, the {prod} {noun} was restarted twice.", "Dr. {n} called {p}.", "Ask Mrs. {n} or Mr. {n} about the {noun}.", "{n} signed for the {noun} at {a}.", "Her {doc} is {i}.", "From: {n} <{e}>", "Reviewed by {n}, {n} and {n}.", "{p}, ask for {n}", "{p}, ask {n}",
-    "We met {n} near the {noun}.", "Ship it to {a}.", "{n} lives in {town}.", "{e}", "{p}",
+    "My neighbour {n} keeps bees.", "We thanked {n} for the cake.", "{n} missed the bus again.", "Minutes taken by {n}, seconded by {n}.", "Yesterday {n} and {n} painted the fence.", "Dr. {n} will see you at nine.", "Mrs. {n} taught us piano.", "Prof. {n}, who retired, still writes.", "Mr. {n} owns the mill.",
+    "Photo: {n}", "Editor: {n}", "{n}", "- {n}", "{n}, treasurer", "Signed, {n}", "Best wishes, {n}", "Hello {n}, how are you?", "To: {n} <{e}>", "cc: {e}", "Mail {e} with any doubts.", "Reply to {e} or ring {p}.", "{e} is the shared inbox.", "My old mailbox, {e}, is dead.", "Forward it to {n} ({e}).", "{e}",
+    "Ring {p} after lunch.", "Mobile {p}", "Tel: {p}", "T {p} / F {p}", "Our number is {p}, ask for {n}.", "Text {p} to cancel.", "{p}", "Reach {n} on {p} or at {e}.", "Emergency line {p} is staffed all night.", "Leave a message on {p}.", "Phone {p}; mail {e}.",
+    "Passport {i} expired.", "The clerk copied SSN {i} into the file.", "Her passport number was {i}.", "Tax ID: {i}", "Licence {i} belongs to {n}.", "{n} carries residence card {i}.", "National insurance no. {i}", "He showed us card {i} and left.", "Insured under {i} since birth.", "Permit no. {i} was revoked.", "Holder {n}, document {i}, phone {p}.", "{n}, holder of {i}, was late.", "with document {i}.",
+    "The parcel for {n} went to {a}.", "We moved to {a} in spring.", "{a}", "Address: {a}", "Visit us at {a}!", "{n} rents a room at {a}.", "Invoices: {n}, {a}.", "Meet me outside {a}.", "Home: {a}; work: {a}", "Return to {a}, please.", "The will of {n}, late of {a}, was read.", "He lived at {a} and his number was {i}.", "Deliver to {n}, {a}, and phone {p}.",
+    "Nobody told {n}.", "Before that, {n} ran a bakery.", "In {town}, {n} met {n}.", "Was it {n} who called?", "As {n} put it, rain is likely.", "“I never saw it,” said {n}.", "The letter from {n} arrived.", "{n} said no.", "says {n} of {firm}.", "Posted by {n} on {day}", "{n} wrote back from {town}.", "Contact {n}.", "Contact {n}: {e}.", "Contact {n} or {n} first.", "Dear {n}, the {word} is yours.", "Ask Dr. {n} or Mrs. {n}.", "Mr. {n} and {n} agreed.", "The {word} goes to {n} now.", "Has {n} paid for {make}?", "{n} of {firm} left {town}.", "{n} and {n} ran {make} for years.",
+    "{n} has {doc} {i}.", "{n} quoted {doc} {i}.", "{n} presented {doc} {i} today.", "{doc} {i}, issued in {town}", "Bring {doc} {i} along.", "His {doc}, {i}, is blocked.", "We need {doc} {i} for {n}.", "{n} moved to {a}; {doc} {i}.", "under {doc} {i}. {make} is slow.", "{doc}: {i}", "the {doc} {i} of {n}",
+    "or dial {p}.", "It rings on {p} until ten.", "{n} answers {p} and {e}.", "Try {p}, then {p}.", "or call {p}. {n} knows.", "At {a}, ring twice.", "{a}: two rooms", "{n}, {a}, {town}", "Parcels for {a} wait.", "{n} lives near {a} with {n}.", "Take {doc} {i} to {a}.", "{n} of {a} showed {doc} {i}.", "{n} showed {doc} {i} at noon.", "{n} needs the {doc} {i}.", "Check: {doc} {i}, tel. {p}.", "{n} (of {town}) showed {doc} {i} at ten.", "for {n} the {doc} {i}. {make} is slow.", "tel {p}", "tel {p} {make}", "-- {n}", "{n} {a} tel {p}", "{n} stays at {a} and has {doc} {i}.", "stays at {a} and has {doc} {i}.", "{doc} {i}; tel. {p}.", "{doc} {i}, tel. {p}, mail {e}.", "{n} (from {town}) has {doc} {i} with her.", "A loan for {n} calls for {doc} {i}.", "{n}", "{n}", "mail {e} by {day}.", "{e} by noon.", "{n}: {doc} {i}", "Interview with {n}: part {d1}",
 ]
 _FR = [
-    "Contactez {n} à {e} ou au {p}.", "Joignable au {p} le matin.", "Selon {n}, {prod} tournait encore.", "Livraison chez {n}, {fa}.", "{n} a fourni la carte {i}.", "{n} a fourni le numéro {i}.", "{n} a présenté le passeport {i}.", "Écrire à {e} avant mardi.", "{n} habite {fa}.", "Mme {n} répond au {p}.", "Titre de séjour {i}, au nom de {n}.", "Merci à {n} ({e}).",
+    "Ma voisine {n} élève des abeilles.", "Merci à {n} pour le gâteau.", "{n} a raté son train.", "Mme {n} enseigne le piano.", "M. {n} est absent.", "Selon {n}, il va pleuvoir.", "D'après {n}, tout va bien.", "Photo : {n}", "Bonjour {n}, ça va ?", "Signé {n}", "Répondez à {e}.", "Courriel : {e}", "Mon adresse {e} ne marche plus.", "Joindre {n} ({e}) ou {p}.",
+    "Tél. {p}", "Appelez le {p} ce soir.", "Le {p} répond la nuit.", "Portable {p}, demandez {n}.", "Passeport {i} périmé.", "Numéro de sécurité sociale {i}", "{n} est titulaire du permis {i}.", "Sa carte {i} est perdue.", "{n} a montré le document {i}.", "Colis pour {n}, {fa}.", "Nous habitons {fa} depuis peu.", "{fa}", "Adresse : {fa}", "Retour au {fa}, merci.", "{n} loue une chambre, {fa}.", "chez {n}, {fa}.", "On écrit à {e} ou on appelle le {p}.", "{n} vit à {town}.", "Selon {n}, {make} va mieux.", "Pour {n}, {make} suffit.", "D'après {n}, {make} dort encore.", "{n} apporte la carte {i}.", "{e} ou au {p}.", "voir {n} à {e} ou au {p}. {make} dort.", "ou au {p}", "au {p}.", "{n} donne le numéro {i}.", "{n} tend le passeport {i}.", "{n} cite le permis {i}.", "à {e} ou au {p}.", "au {p} avant midi.", "{n}, au {p}", "Voyez {n}, {fa}, ou {e}.", "Écrivez à {n} : {e}",
 ]
 _DE = [
-    "Rückfragen an {n} unter {e} oder {p}.", "Telefonisch erreichbar: {p}.", "Laut {n} lief {prod} über Nacht weiter.", "Lieferung an {n}, {da}.", "{n} legte Ausweis {i} vor.", "{n} legte Rentennummer {i} vor.", "{n} legte Steuernummer {i} vor.", "Bitte an {e} schreiben.", "{n} wohnt {da}.", "Frau {n} ist unter {p} da.", "Der Bericht von {n} liegt im {Noun}.",
+    "Meine Nachbarin {n} hält Bienen.", "Danke an {n} für den Kuchen.", "{n} hat den Bus verpasst.", "Frau {n} gibt Klavierstunden.", "Herr {n} fehlt heute.", "Laut {n} regnet es bald.", "Nach Angaben von {n} stimmt alles.", "Foto: {n}", "Guten Tag {n}, wie geht es?", "Gezeichnet {n}", "Antwort an {e}.", "E-Mail: {e}", "Mein Postfach {e} ist tot.", "Fragen an {n} ({e}) oder {p}.",
+    "Tel. {p}", "Ruf abends {p} an.", "Unter {p} meldet sich nachts jemand.", "Handy {p}, bitte {n} verlangen.", "Pass {i} ist abgelaufen.", "Versicherungsnummer {i}", "{n} besitzt den Führerschein {i}.", "Seine Karte {i} ging verloren.", "{n} zeigte Ausweis {i}.", "{n} nannte die Nummer {i}.", "Paket für {n}, {da}.", "Wir wohnen jetzt {da}.", "{da}", "Anschrift: {da}", "Zurück an {da}, danke.", "{n} mietet ein Zimmer in der {da}.", "an {n}, {da}.", "Schreib an {e} oder ruf {p} an.", "{n} wohnt in {town}.", "Erreichbar: {p}.", "Laut {n} schläft {make} noch.", "Für {n} reicht {make}.", "Wie {n} meint, ist {make} träge.", "{n} gab Ausweis {i} ab.", "{n} gab Pass {i} ab.", "{n} wies Ausweis {i} vor.", "{n} wies Pass {i} vor.", "{n} wies Rentennummer {i} vor.", "{n} wies Steuernummer {i} vor.", "{n} wies {i} vor.", "{n} gab Rentennummer {i} an.", "{n} gab Steuernummer {i} an.", "{n} hat Nummer {i}.", "an {n} ({e}, {p})", "bei {n}, {da}.", "{n} unter {e}", "Lieferung: {da}", "telefonisch {p}.",
 ]
 _ES = [
-    "Escriba a {n} en {e} o llame al {p}.", "Teléfono de guardia: {p}.", "Según {n}, {prod} seguía en marcha.", "Entrega a {n}, {sa}.", "{n} presentó el permiso {i}.", "{n} presentó el documento {i}.", "{n} mostró el pasaporte {i}.", "Correo: {e}", "{n} vive en {sa}.", "La Sra. {n} atiende el {p}.",
+    "Mi vecina {n} cría abejas.", "Gracias a {n} por la tarta.", "{n} perdió el autobús.", "La señora {n} da clases.", "El señor {n} no vino.", "Según {n}, va a llover.", "Para {n} todo va bien.", "Foto: {n}", "Hola {n}, ¿qué tal?", "Firmado, {n}", "Responda a {e}.", "Correo: {e}", "Mi buzón {e} ya no funciona.", "Consultas a {n} ({e}) o al {p}.",
+    "Tel. {p}", "Llame al {p} esta tarde.", "En el {p} contestan de noche.", "Móvil {p}, pregunte por {n}.", "Pasaporte {i} caducado.", "Número de afiliación {i}", "{n} tiene el carné {i}.", "Su tarjeta {i} se perdió.", "{n} enseñó el documento {i}.", "Paquete para {n}, {sa}.", "Ahora vivimos en {sa}.", "{sa}", "Dirección: {sa}", "Devolver a {sa}, gracias.", "{n} alquila un cuarto en {sa}.", "a {n}, {sa}.", "Escríbanos a {e} o bien al {p}.", "{n} vive en {town}.", "Según {n}, {make} va mejor.", "Para {n}, {make} basta.", "Como dice {n}, {make} duerme.", "{n} dio el permiso {i}.", "en {e} o al {p}.", "llame al {p}. {make} duerme.", "o al {p}", "{n} dio el pasaporte {i}.", "{n} trajo el documento {i}.", "{n} citó el número {i}.", "a {n} en {e} o al {p}.", "al {p}, de noche.", "{n}, {sa}, {p}", "Vea a {n} en {sa}.", "Guardia: {p}.",
 ]
 _NONE = [
-    "Order number {d1}-{d3}-{d2} left the depot with tracking code ZX{d6}.", "ISBN 978-0-{d2}-{d5}-{d1} is the handbook of {prod}.", "Coordinates {d2}.{d3}, -{d1}.{d2} mark the {prod} depot.", "Release {d1}.{d2}.{d3}.{d1} of {prod} fixed ticket {d3}-{d2}.", "The price list {d3}/{d2} of {comp} covers {d2} items.", "The price list {d3}/{d2} of {comp} covers {d2} items.",
-    "Run user@build:~$ {noun} --depth {d3} to start {prod}.", "Mirror 192.0.2.{d3} answered in {d3} ms for {prod}.", "Call the fetch method with timeout={d6}.", "Between {d2}:{d2} and {d2}:{d2} the counter of {prod} rose from {d3} to {d5}.", "See @media rules and the @{prod} handle for updates.", "The checksum ends in {d1}f{d3}c{d2}a{d1} and the build id is {d5}.",
-    "[[Start|{prod}]] has {d4} rows", "Step {d3}: let the {noun} cool, then move the {noun}s near the north gate.", "Version {d2} of {prod} renamed the {noun}.", "{d4} {noun}s relocated the {noun} in the old port, and {d2} more ignored a {noun} on {day}.", "Compared with {prod}, the {noun} limits {d3} percent fewer {noun}s.", "Install {prod} with one command, point it at the {noun} and wait for {d4} {noun}s.",
-    "“The {noun} was open, but the {noun}s rewrote us,” a reader wrote in June.", "Nobody expected the {noun} to outlive {d4} {noun}s, but {prod} moved it.", "The {comp} {noun} opens on {day}.", "{prod}, a quiet {noun}, keeps {noun}s in {town} at {d4} per minute.", "{prod} and {prod} compared {d3} {noun}s.", "Is the {noun} worth {d4} {noun}s? {prod} keeps both, so probably yes.",
-    "(A) {noun} (B) {noun} (C) {d3} litres (D) the {noun}", "If {d3} coins of {noun} dust fill {d3} litres of a {noun}, how many barrels does the {noun} need?", "for i in range({d4}): print({noun}[{d2}])", "greeting = \"Hello {{{{ user.name }}}}, order {d4}\"", "curl -s https://www.{noun}.example/feeds/{prod}.xml | head -n {d4}", "<div class=\"item-{d3}\">", "\"limit\": {d3}",
-    "Our {Noun} in {town} has {d3} rooms.", "North Gate and Old Port reopened on {day} {d2}.", "{prod} Pro {d1}.{d1} ships with {comp} tools.",
-    "Zwischen dem {Noun} und dem {Noun} liegen {d3} {Noun}.", "Der Bericht über {prod} nennt {d4} {Noun} und einen langen {Noun}.", "Jeder {Noun} mit mehr als {d3} {Noun} braucht einen neuen {Noun}.", "Für {d4} {Noun} reicht ein guter {Noun}, meint {prod}.", "Ist der alte {Noun} wirklich {d4} {Noun} wert?", "Nach Mitternacht zählte ein Ausschuss die {Noun} und der {Noun} {d4} {Noun}.", "{prod} verschob den {Noun}, obwohl {d4} {Noun} fehlten.", "Ohne den {Noun} sammelte niemand die {Noun} am {Noun}.", "Ende März prüfte der {Noun} die {Noun} im {Noun}.", "Version {d3} von {prod} ersetzte den {Noun} langsam.", "Wer den {Noun} kennt, weiß, dass {prod} {Noun} von Hand meldete.", "Als {Noun} und {Noun} kamen, war {prod} da.",
-    "Wer den {Noun} kennt, weiß, dass {prod} {Noun} wie geplant kürzte.", "Wer den {Noun} kennt, weiß, dass {prod} {Noun} unter Last fand.", "Es heißt, dass {prod} {Noun} zum zweiten Mal prüfte, während {prod} {Noun} ersetzte.", "Kaum ein {Noun} hielt {d3} {Noun} aus, doch der alte {Noun} trug sie ohne Mühe.", "Am Wochenende zählte ein Mann die {Noun} und der {Noun} {d3} {Noun}.", "Am {Noun} lagen {d3} {Noun}, bis {prod} sie mit Sorgfalt ordnete.", "{d4} {Noun} lagen hinter dem {Noun}, bis {prod} sie unter Last beschrieb.", "Seit dem {Noun} standen {d3} {Noun} im {Noun}.", "Beim dritten Versuch ordnete der {Noun} in kleinen Schritten {d3} {Noun}.", "Vor den Ferien standen {d2} {Noun} am {Noun}, und {prod} verglich nur die Hälfte.", "Weil der schnelle {Noun} ausfiel, ergänzte {prod} die {Noun} langsam.", "Im letzten Herbst meldete der {Noun} binnen einer Stunde {d3} {Noun}.", "Letzten Sommer kamen {Noun} und {Noun} nach {town}. Heute bleibt der {Noun} zu.", "Die {Noun} der Stadt {town} nennt das {Noun} ein Wunder. Auf dem {Noun} wartet {prod}.", "{prod} strich erst die {Noun}, dann den langen {Noun}.", "{prod} malte den {Noun} am Stadtrand, wie Kenner sagen. Wie {prod} {Noun} ordnet, bleibt offen.", "Der {Noun} lagerte {Noun}, und der {Noun} verlor den Rest im Archiv.",
-    "Do not mix {noun}s with the {noun}, or {prod} keeps both twice.", "Has anyone seen {noun}s after the {noun} closed? Most {noun}s at the {noun} were late, yet {prod} funded them.", "Visitors found {d3} plain {noun}s beside the {noun} near the north gate early this year.", "The {noun} that {prod} painted two winters ago now counts {d4} {noun}s on the shore.", "On {day}, the town measured an old {noun} for {d3} {noun}s. Readers of the {noun} asked how {prod} sorts {noun}s.", "While the {noun} returns {d2} orderly {noun}s, {prod} sleeps. Some {noun}s prefer a local {noun} over a new {noun}.", "{prod}, an awkward {noun}, lists {noun}s at the fair. It took {d3} days until the {noun} moved the {noun}.", "I swapped the {noun} for {prod} and the {noun}s look fine now. The report on {prod} counts {d4} wet {noun}s.", "For a crowd of {d4}, plan one {noun}, some small {noun}s and a public {noun}. Each {noun} carries a {noun}.", "When a {noun} stores its {noun}s, every {noun} feeds them slowly. Set the {noun} to {d2} before the {noun}s reach it.", "Our {noun} needs {noun}s; theirs limits a {noun} and {d3} {noun}s. Two winters ago, {prod} shipped {d2} {noun}s.", "How {prod} keeps {noun}s", "Why {noun}s like a wet {noun}", "Inside the quiet {noun} of {prod}", "{prod} and the {noun}", "Use {prod} when {noun}s are late; otherwise {prod} drops them. The option max_page_limit of {prod} is set to {d3} * 2.", "Which statement is correct? Select the {noun} that proves the claim about the {noun}. Order the {noun}, the {noun} and the {noun} by coins, given that the {noun} turns {d3} times.",
-    "Peu de pages passaient par le four, et {prod} les triait toutes. Le musée de {town} gardait {d3} toiles au second étage.", "Tout carnet de plus de {d3} sources demande un quai rare. Sans le filtre, personne ne coupait les {d2} lignes.", "{prod} limitait d'abord les sources, puis le canal sur le serveur. Depuis la migration, {d4} pages arrivaient.", "Chaque port décrivait des notes, puis {prod} coupait le reste. Au printemps, le train louait {d3} images.", "Le bassin vaut-il vraiment {d4} lampes ? Mardi soir, {d3} notes arrivaient sans {prod}. Joignable ou non, il ferme.",
-    "Pocas líneas pasaban por el museo, pero {prod} las siguió todas. Cada faro midió unas plazas y luego {prod} contó el resto.", "Entre el horno y el índice hay {d3} telas. Todo muelle de más de {d4} cartas pide un registro limpio.", "¿Vale el museo de verdad {d4} cartas? {prod} almacenó el título mientras el puente perdió las {d2} semillas.", "Como el servidor era nuevo, {prod} pintó las preguntas con cuidado. En primavera, el enlace movió {d2} páginas.", "Tras la medianoche, el resumen abrió {d2} fuentes. {d4} líneas estaban en el registro cuando {prod} las abrió a mano.",
-    "Pour {d4} questions, un grenier suffit, selon {prod}.", "Le rapport sur {prod} cite {d4} caisses et un lien rare.", "La version {d3} de {prod} copiait le canal.", "Comme le jardin était calme, {prod} gardait les pages. Après minuit, {prod} triait le reste.", "Entre le port et le four se trouvent {d3} pages. Sans {prod}, personne ne venait.",
-    "Para {d4} notas basta un puente, según {prod}.", "El informe sobre {prod} cita {d4} cajas y un tren abierto.", "La versión {d3} de {prod} copió el servidor a mano.", "Sin el puerto, nadie contó las {d3} fichas. Según {prod}, El Faro y La Plaza abren.", "El martes, {prod} movió {d4} líneas en el registro.",
+    "Invoice {d4}-{d2}-{d3} was paid twice.", "Parcel RX{d8}GB is delayed.", "See ISBN 978-{d1}-{d4}-{d4}-{d1}.", "Lat {d2}.{d4}, lon -{d1}.{d4}", "v{d1}.{d2}.{d1} fixes bug #{d4}", "Upgrade from {d1}.{d1}.{d2} to {d1}.{d2}.{d1}.", "ping 10.{d2}.{d1}.{d3} took {d2} ms", "from {d2}:{d2} to {d2}:{d2}", "On 20{d2}-0{d1}-1{d1} sales hit {d5}.", "The {d2}/{d2}/20{d2} issue cost ${d2}.{d2}.",
+    "Sum: {d3},{d3}.{d2} euros", "Part no. {d3}-{d4}-{d2}", "Batch {d6} and batch {d7} were mixed.", "Model {Word}-{d4} sold {d5} units.", "SKU {d4}{d4}{d3}", "Serial {d4}-{d4}-{d4}", "@media (min-width: {d3}px)", "@decorator def run(x={d2}): return x @ w", "price @ {d2} each", "see {word}@{d1}.{d1} in the lockfile", "git clone git@{word}:{word}/{word}", "ssh root@{word} -p {d4}", "@{word} liked this", "x = {{{{ {word} }}}} + {d2}", "[[{Word}]] ({d4})", "{word}_{d2} = [{d3}, {d3}, {d2}]", "sha {word}{d3}ab{d2}f", "SELECT {word} FROM {word} WHERE id = {d5}",
+    "{Word} Street Market opens at dawn.", "The {Word} Road Show had {d3} guests.", "{Word} {Word} beats {Word} {d1} to {d1}.", "{firm} hired {d3} people.", "{firm} and {firm} merged on {day}.", "{day} {d2} June in {town}", "{town} has {d5} inhabitants.", "A day in {town} costs {d2}.", "{make}, a tiny {word}, weighs {d3} grams.", "{make} Pro {d1} runs {make} faster.", "With {make} the {word} takes {d2} seconds.", "How {make} made {word}s cheap", "{make}: a {word} for {word}s", "The {word} and the {word}s of {make}", "Is {make} worth {d3} {word}s? {make} says so.", "Every {word} with {d2} {word}s needs {make}.", "{make} and {make} share {d3} {word}s.",
+    "By the {word}, {d4} {word}s are old.", "“The {word} was late,” a guest said.", "Nobody knew that {make} would last {d4} days.", "The {word} (built {d4}) holds {d3} {word}s.", "Chapter {d1}: The {Word} of {Word}", "{Word}, {word}, {Word}", "{Word} and {word}s", "Old {Word} and New {Word} are rivals.", "North {Word} lies past the {word}.", "JavaScript, {Word} and {make}", "See {Word} {Word} for details.", "Which {word} has {d2} {word}s? (A) {d1} (B) {d2} (C) {d3}",
+    "Install {make} now, then rest.", "Buy {make} before it sells out.", "Open {make} and count {d2} {word}s.", "Use {make} with care.", "Start {make} first.", "Try {make} instead.", "Set {make} to {d2}.", "Compare {make} with {make}.", "Keep {make} dry.", "Beside {make}, the {word} looks small.", "Next to {make} the {word} lost {d3} {word}s.", "Measured against {make}, {d2} is fine.", "For {make}, {d2} {word}s.", "Suppose {make} sinks.", "Let {Word} be {d1}. Take {Word} too.",
+    "Der {Noun} hob {d3} {Noun} im {Noun} auf.", "{d2} {Noun} am {Noun} sind neu.", "Sie lag am {Noun}, bis {make} sie fand.", "{make} kaufte {d3} {Noun} im {Noun}.", "Der {Noun} wog {d2} {Noun} im {Noun} und {d3} {Noun} am {Noun}.", "{Word} number {d1}-{d3}-{d2} is gone.", "The {word} has number {d1}-{d3}-{d2} or {d3}-{d4}.", "Prices of {Word} {Word} Foods rose {d3} times.", "Sheet {d3}/{d2} of {Word} {Word} {Word} lists {d3} {word}s.", "{Word} {Word} Press prints {d3} {word}s.", "{d3}/{d2} of {Word} {Word} Foods: {d2} {word}s.", "number {d1}-{d3}-{d2} of {Word} {Word} Tools",
+    "Ende {Monat} kam der {Noun}.", "Anfang {Monat} fiel der {Noun} um {d2}.", "Am {Tag} kam ein {Noun}.", "Am {Tag} hob {make} {d3} {Noun}.", "Im {Monat} ruht die {Noun}.", "Am Abend zog der {Noun} von {Noun} {d2} {Noun}.", "Seit {Monat} hebt der {Noun} {d2} {Noun} auf.", "Bis {Tag} fand {make} {d2} {Noun}.", "Ist der {Noun} {d3} {Noun} wert?", "Der {Noun} zog {d2} {Noun} vor den {Noun}.", "Im Herbst und am {Tag} fehlte {make}.", "Order {d1}-{d3}-{d2} is late.", "Order no. {d3}-{d1}-{d2} under {XX}{d6}", "List {d3}/{d2} of {firm} has {d3} rows.", "{firm} priced {d3} {word}s.",
+    "Shipped under code {XX}{d6}.", "Ticket {XX}-{d4} and code {XX}{d5} are void.", "Voucher {XX}{d4}{XX} has no value.", "A team from {town} won.", "The prize from {town} on {Word} Street", "{town} and {town} are twins.", "People of {town} like {make}.", "CLOSE THE {WORD} AND THE {WORD}, PLEASE", "{WORD} AND {WORD}: WHICH {WORD} HAS {d2} {WORD}S?", "THE {WORD} OF A {WORD} {WORD} FALLS {d3} TIMES", "BUY {WORD} {WORD} NOW", "{make}, {make} and {make}", "{make}, {word} of the year, fell.", "Here is {make}; there, {make} waits.", "Now {make} sells {d3} {word}s.", "Before the {word}, {make} sold {word}s.", "Dear {word} owners, {make} is back.",
+    "for k in range({d3}): {word}[k] += {d2}", "if ({word} > {d4}) return {word};", "{d2} {word}s and {d3} {word}s in {d2} rows", "About {d4} {word}s left the {word} by {d2}:{d2}.", "Line {d3}: {word} not found",
+    "Un {word} de {d3} pages coûte {d2} euros.", "Le {word} de {town} garde {d4} {word}s.", "Selon le {word}, {make} va mieux.", "{make} : un {word} rare", "Comment {make} range les {word}s", "La version {d2} de {make} est lente.", "Avec {make}, {d3} {word}s suffisent, dit le {word}.", "L'été, {make} perdait {d3} {word}s ; puis le {word} en sauvait un.", "Sans le {word}, {make} et {make} dorment.", "Commande {d3}-{d4} expédiée", "Chaque {word} vaut {d2} {word}s, mais pas {make}.",
+    "Der {Noun} und die {Noun} kosten {d3} Euro.", "Im {Noun} von {town} stehen {d4} {Noun}.", "Laut {Noun} geht es {make} besser.", "{make}: ein {Noun} für {Noun}", "Wie {make} die {Noun} sortiert", "Fassung {d2} von {make} ist langsam.", "Mit {make} reichen {d3} {Noun}, sagt der {Noun}.", "Ohne {Noun} schlafen {make} und {make}.", "Auftrag {d3}-{d4} ist fertig", "Nach {d2} {Noun} kam der {Noun}, und {make} {Noun} wuchs.", "Wer {Noun} mag, der weiß, dass {make} {Noun} braucht.", "Neue {Noun} und alte {Noun} am {Noun}", "Jeder {Noun} bis {d4} gilt; {make} {d1} zählt {Noun}.",
+    "Un {word} de {d3} hojas cuesta {d2} euros.", "El {word} de {town} guarda {d4} {word}s.", "Según el {word}, {make} va mejor.", "{make}: un {word} raro", "Cómo {make} ordena los {word}s", "La edición {d2} de {make} es lenta.", "Con {make} bastan {d3} {word}s, dice el {word}.", "Sin el {word}, {make} y {make} duermen.", "Pedido {d3}-{d4} enviado", "Cada {word} vale {d2} {word}s, pero no {make}.", "¿Cuánto cuesta {make} en {town}?", "y {make} contó {d3} {word}s",
 ]
-_NOUNS = "harbour ledger bucket parser reservoir token mirror garden budget queue lantern compass theatre market notebook byline feed crawl depot ferry window canal council drought bridge tunnel pump invoice ticket ballot".split()
-_DNOUNS = "Hafen Katalog Zeiger Markt Ofen Stoff Turm Index Garten Puffer Plan Zug Bericht Keller Fluss Kanal Server Rechner Absatz Eintrag Karten Listen Wiesen Brücken Straßen Fragen Proben Termine Gäste Bücher Treffer Seiten Felder Lampen".split()
-_TOWNS = "Eastmere|Port Alder|Millbrook|Oakford|Stonebury|North Haven|Kesselburg|Altmoor|Neustadt|Valbrume|Saint-Orle|Montaraz|Villaseca del Río|Santa Marta|Larkfield|Bad Lindau".split("|")
-_STREETS = "Old Ferry Rd|Copper Mill Avenue|Heron Way|Alder Lane|Quarry Road|Tannery Street|Sparrow Ct.|High Street|Station Road|Park Ave|Elm Drive|Mill Lane|Kings Road|Church St.|Maple Court|Bay Blvd|Long Hill Rd.|Harbour Terrace|Queen Square".split("|")
-_DSTREETS = "Ofengasse|Gerberstraße|Lindenweg|Hauptstraße|Bahnhofstraße|Am Markt|Schulweg|Uferallee|Mühlgasse|Kirchplatz".split("|")
-_FSTREETS = "rue des Tanneurs|allée du Verger|rue du Four|avenue de la Gare|place du Marché|chemin des Vignes|quai Saint-Jean|boulevard Victor".split("|")
-_SSTREETS = "Calle del Horno|Avenida del Faro|Plaza del Muelle|Calle Mayor|Paseo de la Vega|Camino Real|Calle de la Luna".split("|")
-_COMP = "Alder Creek Foods|Blue Harbor Tools|Stone Hill Press|Garden Gate Media|North Star Lines|Red Lake Books".split("|")
-_SUFF = "ware dex fetch base works ette ly Lite Lite Lite _2 _2".split()
+_WORDS = "spoon kettle ladder pillow carpet wagon feather button basket hammer saddle candle magnet ribbon blanket teapot trumpet drawer lemon badger otter beetle maple granite cotton rafter gable cellar attic porch stove anvil bellows chisel lathe plough sickle thimble needle".split()
+_DNOUNS = "Löffel Leiter Kissen Teppich Wagen Kiesel Feder Knopf Korb Hammer Sattel Kerze Magnet Decke Trompete Schublade Zitrone Nuss Dachs Käfer Weide Ahorn Marmor Kupfer Samt Wolle Giebel Veranda Amboss Meißel Pflug Sichel Nadel Fässer Gabeln Stühle Dosen Zäune".split()
+_TOWNS = "Brackwell|Upper Thornby|East Quillham|Fenstead|Maplewick|Rosshaven|Grünau|Oberlinden|Steinfurt am Berg|Hohenrode|Beaurivage|Mont-Clair|Saint-Aubrac|Villefleur|Campoverde|Torre Alta|Puebla del Monte|Riofrío|Drumlow|Penwith".split("|")
+_STREETS = "Walnut Street|Thimble Lane|Foundry Road|Orchard Avenue|Bishop's Row|Cobbler Close|Windmill Hill|Juniper Drive|Saddler St.|Granite Rd|Lantern Ct.|Beacon Ave|Nettle Blvd|Weaver Terrace|Linden Sq.|Chapel Walk|Old Mint Rd.|North Pier Way|Barley Crescent|Duke Place".split("|")
+_DSTREETS = "Kupfergasse|Lerchenstraße|Ahornweg|Turmstraße|Am Brunnen|Rosenallee|Wiesenplatz|Im Winkel|Drosselstieg|Hufnagelstraße|An der Linde|Zum Anger".split("|")
+_FSTREETS = "rue des Lilas|allée des Cerisiers|avenue du Moulin|place de l'Horloge|chemin du Lavoir|quai des Brumes|boulevard Carnot|impasse du Puits|route de Beaune|cours Lafitte|rue Pasteur|passage Vendôme".split("|")
+_SSTREETS = "Calle de la Fuente|Avenida del Olivo|Plaza Nueva|Calle Cervantes|Paseo del Prado Viejo|Camino de las Eras|Calle del Pozo|Pasaje Aurora|Travesía de la Cruz|Plaza del Carmen".split("|")
+_FIRMS = "Birch & Sons|Norwell Partners|Kite Brothers|Amber Textiles|Pinecone Software|Lakeview Dairy|Grand Union Bakers|Silver Fox Films|Oak Tree Insurance|Red Kettle Coffee".split("|")
+_SURNAMES = "Abbott Ackermann Alvarez Baker Barreto Bauer Becker Bennett Blanchard Bouvier Brandt Carter Castillo Chevalier Cohen Cooper Delacroix Dietrich Dominguez Duval Eriksson Faber Fischer Fontaine Foster Fuentes Garnier Gomez Graham Gruber Hartmann Herrera Hoffmann Hughes Iglesias Jensen Kovacs Krüger Lambert Larsen Lefebvre Lindqvist Lorenz Marchand Mendez Mercier Morris Müller Navarro Neumann Nowak Okafor Olsen Ortega Parker Petrov Pfeiffer Quinn Ramirez Renard Ritter Romero Rossi Roussel Sanders Schäfer Schneider Serrano Silva Stewart Suarez Tanaka Thompson Turner Ufer Vidal Vogel Wagner Walker Weber Wright Yilmaz Zapata Zimmermann".split()
+_DOCS = "passport|national ID|social number|social security number|tax number|tax ID|permit|residence permit|ID card|ID|insurance number|licence|driving licence|passport number|identity card|national insurance number".split("|")
+_ENDINGS = "ix os ify ado ino era una exo ium ora ible ario umo esta".split()
+
+
+def _invented(r: random.Random, parts: int) -> str:
+    """A word no dictionary has, of consonant, vowel and at times a closing consonant."""
+    return "".join(r.choice("bcdfghjklmnprstvwyz") + r.choice("aeiou") + r.choice(("", "", "l", "n", "r", "s", "t", "b", "k", "m")) for _ in range(parts)).capitalize()
 
 
 def _surname(r: random.Random) -> str:
-    return "".join(r.choice(_PARTS) for _ in range(r.choice((2, 3, 3)))).capitalize()
+    return r.choice(_SURNAMES) if r.random() < 0.35 else _invented(r, r.choice((2, 3, 3, 4)))
+
+
+def make(r: random.Random) -> str:
+    """A product's name."""
+    return _invented(r, r.choice((2, 2, 3))) + r.choice((*_ENDINGS, "", "", " 2", " 3", " Lite", " Mini", "soft", "ly", "kit"))
 
 
 def person(r: random.Random) -> str:
     given = r.choice(GIVEN).capitalize() if r.random() < 0.85 else _surname(r)[:7]
     last = _surname(r) + ("-" + _surname(r) if r.random() < 0.2 else "")
     k = r.random()
-    if k < 0.58:
+    if k < 0.5:
         return f"{given} {last}"
-    if k < 0.74:
+    if k < 0.54:
+        return f"{given} {r.choice(('de', 'van', 'von', 'de la', 'del', 'di', 'van der'))} {last}"
+    if k < 0.57:
+        return f"{given} {last}".upper()
+    if k < 0.73:
         return f"{last}, {given}"
-    if k < 0.84:
-        return f"{given} {r.choice('ABCDGHKLMNPRST')}. {last}"
+    if k < 0.83:
+        return f"{given} {r.choice('ABCDEFGHJKLMNOPRSTVW')}. {last}"
     if k < 0.92:
         return f"{given[0]}. {last}"
     if k < 0.95:
-        return f"{given[0]}. {r.choice('BDGKNPS')}. {last}"
+        return f"{given[0]}. {r.choice('ABCDEFGHJKLMNOPRSTVW')}. {last}"
     return f"{last}, {given[0]}."
 
 
 def mailbox(r: random.Random) -> str:
-    user = r.choice((f"{r.choice(GIVEN)}.{_surname(r).lower()}", f"{r.choice('abcdefgknprstvw')}{_surname(r).lower()}", f"{_surname(r).lower()}_{r.randint(0, 99):02d}", f"{r.choice(GIVEN)}+{r.choice(('news', 'crawl', 'shop'))}"))
-    name = r.choice(_NOUNS)
-    host = r.choice((f"{name}.example", f"{name}-mail.example", f"{name}post.test", f"{name}.mail.invalid", f"{name}.org", f"mail.{name}.com"))
+    user = r.choice((f"{r.choice(GIVEN)}.{_surname(r).lower()}", f"{r.choice('abcdefghjklmnoprstvw')}{_surname(r).lower()}", f"{_surname(r).lower()}_{r.randint(0, 99):02d}", f"{r.choice(GIVEN)}{r.randint(1, 999)}", f"{r.choice(GIVEN)}+{r.choice(_WORDS)}", f"{r.choice(GIVEN)}-{_surname(r).lower()}"))
+    name = r.choice(_WORDS)
+    host = r.choice((f"{name}.net", f"{name}-{r.choice(_WORDS)}.example", f"{name}.co.uk", f"mx.{name}.de", f"{name}.fr", f"{name}.es", f"post.{name}.org", f"{name}box.com", f"{name}.test", f"{name}.mail.invalid"))
     k = r.random()
     if k < 0.55:
         m = f"{user}@{host}"
     elif k < 0.68:
         m = f"{user} [at] {host.replace('.', ' [dot] ')}"
-    elif k < 0.84:
+    elif k < 0.76:
         m = f"{user}(at){host}"
+    elif k < 0.84:
+        m = f"{user} (at) {host.replace('.', ' (dot) ')}"
     else:
         m = f"{user} @ {host}"
     return m.upper() if k < 0.5 and r.random() < 0.2 else m
 
 
+#: National and international ways to write telephone numbers, and numbers of documents: # is a digit, * a letter.
+PHONES = (
+    "+44 20 #### ####|020 #### ####|07### ######|+44 7### ######|01### ######|+1 ### ### ####|(###) ###-####|###.###.####|###-###-####|### ### ####|1-###-###-#### ext. ##|1-###-###-####|+1##########|(###) ###-#### x###|###-###-#### ext. ###|"
+    "+33 # ## ## ## ##|0# ## ## ## ##|0#.##.##.##.##|0#########|+33#########|0# ## ## ## ## poste ##|+49 ## ########|+49 ## ##### ###|0## ########|0##/#######|0##/########|0049 (##) #####-###|0## #### ####|0## ####-##|0## ####-## Durchwahl ##|0### #######|+49 ### #######|"
+    "+34 ### ### ###|### ### ###|### ## ## ##|###-##-##-##|#########|9## ### ###|(0034) ### ## ## ##|+34#########"
+).split("|")
+DOCUMENTS = (
+    "###-##-####|### ## ####|#########|*########|**######|*# ######|** ## ## ## *|**######*|## ###### * ###|########*###|# ## ## ## ### ### ##|#############|########-*|########*|*-#######-*|*#######*|*#######|##/###/#####|###/####/####|## ### ### ###|*##*##*##|*#**#*#*#|*##**###*|##-#######|#### #### ####|*###-####-####|** #######|*-#######"
+).split("|")
+
+
+def filled(r: random.Random, pattern: str) -> str:
+    return "".join(r.choice("0123456789") if c == "#" else r.choice("ABCDEFGHJKLMNPRSTVWXYZ") if c == "*" else c for c in pattern)
+
+
 def phone(r: random.Random) -> str:
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    return r.choice((
-        f"+44 20 7946 0{d(3)}", f"020 7946 0{d(3)}", f"+1 {d(3)} 555 01{d(2)}", f"({d(3)}) 555-01{d(2)}", f"{d(3)}.555.01{d(2)}", f"1-{d(3)}-555-01{d(2)} ext. {d(2)}", f"+1{d(3)}55501{d(2)}", f"{d(3)} 555 01{d(2)}", f"{d(3)}-555-01{d(2)}", f"({d(3)}) 555-01{d(2)} x{d(3)}",
-        f"+33 1 99 00 {d(2)} {d(2)}", f"01.99.00.{d(2)}.{d(2)}", f"0199 00{d(4)}", f"01 99 00 {d(2)} {d(2)}", f"030/23125{d(3)}", f"+49 30 23125 {d(3)}", f"0049 (30) 23125-{d(3)}", f"030 2312 5{d(3)}", f"600-00-0{d(1)}-{d(2)}", f"+34 600 000 {d(3)}", f"600000{d(3)}", f"+34 91 {d(3)} {d(4)}",
-    ))
+    return filled(r, r.choice(PHONES))
 
 
 def document(r: random.Random) -> str:
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    return r.choice((
-        f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", d(9), f"X{d(8)}", f"T{d(8)}", f"QQ {d(2)} {d(2)} {d(2)} C", f"{d(2)} {d(6)} K {d(3)}", f"{r.choice('12')} {d(2)} {d(2)} 99 {d(3)} {d(3)} {d(2)}", f"{d(8)}-{r.choice('GRWTK')}", f"X-{d(7)}-{r.choice('GRWTK')}", f"{r.choice('ABCLY')}{d(7)}", f"AB{d(6)}C",
-    ))
+    return filled(r, r.choice(DOCUMENTS))
 
 
 def address(r: random.Random, lang: str) -> str:
-    n, code, town = r.randint(2, 299), f"{r.randint(0, 99999):05d}", r.choice(_TOWNS)
+    n, code, town = r.choice((str(r.randint(1, 320)), str(r.randint(1, 99)))), f"{r.randint(1000, 99999):05d}", r.choice(_TOWNS)
     if lang == "de":
-        return f"{r.choice(_DSTREETS)} {n}, {code} {town}"
+        return f"{r.choice(_DSTREETS)} {n}{r.choice(('', '', '', 'a', 'b'))}" + r.choice((f", {code} {town}", f", {code} {town}", ""))
     if lang == "fr":
-        return f"{n} {r.choice(_FSTREETS)}, {code} {town}"
+        return f"{n}{r.choice(('', '', '', ' bis'))}{r.choice((' ', ' ', ', '))}{r.choice(_FSTREETS)}" + r.choice((f", {code} {town}", f", {code} {town}", ""))
     if lang == "es":
-        return f"{r.choice(_SSTREETS)} {n}, {code} {town}"
+        return f"{r.choice(_SSTREETS)}{r.choice((' ', ' ', ', '))}{n}" + r.choice((f", {code} {town}", f", {code} {town}", ""))
     s = f"{n} {r.choice(_STREETS)}"
     if r.random() < 0.35:
-        return f"{r.choice(('Flat', 'Flat', 'Apt', 'Unit'))} {r.randint(1, 40)}, {s}" + (f", {town}" if r.random() < 0.8 else "")
-    return s + r.choice(("", f", {town}", f", {town} {code}", f", {town} {code}"))
+        s = f"{r.choice(('Flat', 'Flat', 'Apt', 'Apt.', 'Unit', 'Suite'))} {r.randint(1, 60)}, {s}"
+    return s + r.choice(("", "", f", {town}", f", {town}", f", {town} {code}", f", {town}, {code}"))
 
 
 _KIND = {"n": "person_name", "e": "email", "p": "phone", "i": "id_number", "a": "street_address", "da": "street_address", "fa": "street_address", "sa": "street_address"}
 
 
+def _filler(r: random.Random, k: str) -> str:
+    if k == "make":
+        return make(r)
+    if k[1:].isdigit():
+        return str(r.randint(10 ** (int(k[1]) - 1), 10 ** int(k[1]) - 1))
+    if k == "word":
+        return r.choice(_WORDS) if r.random() < 0.6 else _invented(r, r.choice((2, 3))).lower()
+    if k == "Word":
+        return r.choice(_WORDS).capitalize() if r.random() < 0.6 else _invented(r, r.choice((2, 3)))
+    if k == "WORD":
+        return (r.choice(_WORDS) if r.random() < 0.5 else _invented(r, r.choice((2, 3)))).upper()
+    if k in ("Monat", "Tag"):
+        return r.choice("Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split() if k == "Monat" else "Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag Wochenende".split())
+    if k == "XX":
+        return "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(2))
+    if k == "Noun":
+        return r.choice(_DNOUNS) if r.random() < 0.6 else _invented(r, r.choice((2, 3)))
+    return r.choice({"town": _TOWNS, "firm": _FIRMS, "doc": _DOCS, "day": "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()}[k])
+
+
+def _sentence(r: random.Random, template: str) -> tuple[str, list[tuple[int, int, str]]]:
+    text, spans = "", []
+    for part in re.split(r"(\{\{\{\{ ?|\}\}\}\}|\{\w+\})", template):
+        k = part[1:-1]
+        if part.startswith("{{{{"):
+            text += "{{" + part[4:]
+        elif part == "}}}}":
+            text += "}}"
+        elif part[:1] != "{":
+            text += part
+        elif k in _KIND:
+            v = {"n": person, "e": mailbox, "p": phone, "i": document}[k](r) if k in "nepi" else address(r, {"a": "en", "da": "de", "fa": "fr", "sa": "es"}[k])
+            spans.append((len(text), len(text) + len(v), _KIND[k]))
+            text += v
+        else:
+            text += _filler(r, k)
+    return text, spans
+
+
 def labelled_sentences(rows: int = ROWS, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """(sentence, [(start, end, kind)]), the same for the same seed."""
     r = random.Random(seed)
     out = []
     for _ in range(rows):
         group = r.random()
-        t = r.choice(_EN if group < 0.3 else _FR if group < 0.36 else _DE if group < 0.42 else _ES if group < 0.48 else _NONE)
-        text, spans, i = "", [], 0
-        t = t.replace("{{{{", "\x01").replace("}}}}", "\x02")
-        while i < len(t):
-            if t[i] != "{":
-                text += t[i]
-                i += 1
-                continue
-            j = t.index("}", i)
-            k = t[i + 1 : j]
-            i = j + 1
-            if k in _KIND:
-                v = {"n": person, "e": mailbox, "p": phone, "i": document}[k](r) if k in "nepi" else address(r, {"a": "en", "da": "de", "fa": "fr", "sa": "es"}[k])
-                spans.append((len(text), len(text) + len(v), _KIND[k]))
-            elif k == "prod":
-                s = r.choice(_SUFF)
-                v = _surname(r) + (" 2" if s == "_2" else " Lite" if s == "Lite" else s)
-            elif k[1:].isdigit():
-                v = str(r.randint(10 ** (int(k[1]) - 1), 10 ** int(k[1]) - 1))
-            else:
-                v = r.choice({"noun": _NOUNS, "Noun": _DNOUNS, "town": _TOWNS, "comp": _COMP, "day": "Monday Tuesday Friday Sunday".split(), "doc": ["passport", "tax number", "national ID", "social number", "permit", "ID", "social security number", "card number"]}[k])
-            text += v
-        if r.random() < 0.3 and t not in ("{n}", "{e}", "{p}", "{a}"):  # sentences follow one another on a line
-            more = r.choice(_NONE[:24])
-            if "{{" not in more and text[-1:] != "'":
-                extra = more
-                while "{" in extra:
-                    a = extra.index("{")
-                    b = extra.index("}", a)
-                    k = extra[a + 1 : b]
-                    v = _surname(r) + "ware" if k == "prod" else r.choice("Monday Friday".split()) if k == "day" else str(r.randint(10 ** (int(k[1]) - 1), 10 ** int(k[1]) - 1)) if k[1:].isdigit() else r.choice({"noun": _NOUNS, "Noun": _DNOUNS, "town": _TOWNS, "comp": _COMP}[k])
-                    extra = extra[:a] + v + extra[b + 1 :]
-                text += " " + extra
-        out.append((text.replace("\x01", "{{").replace("\x02", "}}"), spans))
+        t = r.choice(_EN if group < 0.28 else _FR if group < 0.35 else _DE if group < 0.42 else _ES if group < 0.49 else _NONE)
+        text, spans = _sentence(r, t)
+        while r.random() < 0.25 and text[-1:] in ".!?":  # sentences follow one another on a line
+            text += " " + _sentence(r, r.choice(_NONE))[0]
+        out.append((text, spans))
     return out
