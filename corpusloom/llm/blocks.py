@@ -19,7 +19,10 @@ _BLANK = re.compile(r"[\ufeff\s]*")
 _NO_PAGE = re.compile(r"<\?xml(?![^>]*>\s*(?:<!--.*?-->\s*)*<(?:!doctype\s+)?html\b)|<rss|<feed|<rdf|[{\[]", re.I | re.S)
 _PAGE_TAG = re.compile(r"<(?:html|body|p|div|h1|table)\b", re.I)
 _WORD = re.compile(r"[^\W_]+")
+_GAP = re.compile(r"[\W_]+")
 _DIGITS = re.compile(r"[0-9]+")
+#: Characters up to which words of the host's name are masked in a line, so that it is the same line on another host.
+LONG = 160
 INLINE = frozenset("a abbr b bdi bdo br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr button".split())
 CONTAINER = frozenset("html body div section article main aside nav header footer ul ol dl table tbody thead tfoot tr td th form figure blockquote details fieldset dialog".split())
 LEAF = frozenset("p li h1 h2 h3 h4 h5 h6 pre dt dd figcaption caption summary address option legend title".split())
@@ -257,9 +260,11 @@ def squeeze_host(host: str | None) -> str:
 
 
 def key_text(text: str, host: str) -> str:
-    """Line key for repetition counts: words joined by a blank, runs of digits as 0, words of the host's name masked."""
-    words = _WORD.findall(_DIGITS.sub("0", text.lower()))
-    return " ".join("%" if len(w) > 2 and w in host else w for w in words)
+    """Line key for repetition counts: words joined by a blank, runs of digits as 0, and in lines of up to LONG characters words of the host's name masked."""
+    low = _DIGITS.sub("0", text.lower())
+    if len(low) > LONG:
+        return _GAP.sub(" ", low).strip()
+    return " ".join(["%" if len(w) > 2 and w in host else w for w in _WORD.findall(low)])
 
 
 def key_hash(text: str) -> int:

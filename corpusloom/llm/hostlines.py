@@ -11,6 +11,8 @@ from corpusloom.session import BROADCAST_LIMIT, materialize
 MIN_TITLES, MIN_SHARE, MIN_HOSTS = 3, 0.03, 3
 #: Words that double what is asked of a key: near copies of an article share long paragraphs, a template stands nearly everywhere.
 LONG_WORDS = 24
+#: Share of the titles that is enough for a line of any length.
+MOST = 0.5
 #: Weight of the neighbours in smoothing, and the part of the host's mean fused ratio that a content path reaches.
 NEIGHBOUR, CUT = 0.1, 0.5
 #: Part of the summed ratios of the selected nodes that the content section holds.
@@ -31,7 +33,8 @@ def repeated_keys(keys: DataFrame) -> DataFrame:
     n = flat.distinct().groupBy("kind", "host", "key").agg(F.count("*").alias("n"))
     total = keys.select("kind", "host", "title").distinct().groupBy("kind", "host").agg(F.count("*").alias("total"))
     more = 1 + F.greatest(F.lit(0.0), F.col("key").bitwiseAND(F.lit(255)) * 4.0 / LONG_WORDS - 1)
-    often = n.where(F.col("n") >= MIN_TITLES * more).join(total, ["kind", "host"]).where(F.col("n") >= F.col("total") * MIN_SHARE * more).select("kind", "host", "key")
+    enough = (F.col("n") >= F.least(MIN_TITLES * more, F.col("total") * MOST)) & (F.col("n") >= F.col("total") * F.least(MIN_SHARE * more, F.lit(MOST)))
+    often = n.where(F.col("n") >= MIN_TITLES).join(total, ["kind", "host"]).where(enough).select("kind", "host", "key")
     known = often.groupBy("kind", "key").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= MIN_HOSTS).select("kind", "key")
     return often.unionByName(n.join(known, ["kind", "key"], "left_semi").select("kind", "host", "key")).distinct()
 

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from corpusloom.operators.arrow import map_rows
+from corpusloom.session import materialize
+
 #: Words of a window; a shorter item is one window of its own length.
 WINDOW = 10
 #: Windows within this Hamming distance are compared; with RADIUS + 1 blocks at least one block of such a pair is equal.
 RADIUS = 1
-#: Item windows held by one pass; more items are taken in blocks of passes.
-PASS_WINDOWS = 1 << 20
+#: Slots of the bitmap that keeps windows from the shuffle, and slots of one of its rows as Spark aggregates them.
+SLOTS, BUCKET = 1 << 22, 1 << 15
 #: Words simhashed at once.
 CHUNK = 1 << 15
 
@@ -88,69 +91,67 @@ def window_simhash(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-class ItemIndex:
-    """Windows of the items, by length: their fingerprints in sorted blocks, the words and the item of each."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int, radius: int) -> None:
-        self.window, self.radius, self.groups = window, radius, {}
-        rows: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for item, text in items:
-            h, _ = word_hashes([text])
-            n = min(window, len(h))
-            for i in range(len(h) - n + 1 if n else 0):
-                rows.setdefault(n, []).append((h[i : i + n], item))
-        for n, r in rows.items():
-            words = np.array([w for w, _ in r], np.uint64).reshape(len(r), n)
-            flat = words.ravel()
-            fp = window_simhash(flat, n)[::n]
-            width = 64 // (radius + 1)
-            blocks = []
-            for b in range(radius + 1):
-                v = (fp >> np.uint64(b * width)) & np.uint64((1 << width) - 1)
-                order = np.argsort(v, kind="stable")
-                cut = np.uint64(max(0, width - 20))
-                seen = np.zeros(1 << min(width, 20), np.bool_)
-                seen[(v >> cut).astype(np.int64)] = True
-                blocks.append((b * width, width, v[order], order, cut, seen))
-            self.groups[n] = (words, np.array([i for _, i in r], np.int64), fp, blocks)
-
-    def match(self, h: np.ndarray, text: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, similarity) of document windows and item windows within the radius and at least so similar by weighted shingles."""
+def weighted_similarity(a: np.ndarray, b: np.ndarray, shingle: int) -> float:
+    """Weighted Jaccard of two windows' runs of shingle words: every run has the number of its occurrences for its weight."""
+    k = min(shingle, len(a), len(b))
+    if not k:
+        return 0.0
+    x, n = np.unique(window_keys(a, k), return_counts=True)
+    y, m = np.unique(window_keys(b, k), return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    both = int(np.minimum(n[i], m[j]).sum())
+    return both / (int(n.sum()) + int(m.sum()) - both)
+
+
+def _slots(values: np.ndarray, block: int) -> np.ndarray:
+    return (_mix(values * np.uint64(_M) + np.uint64(block + 1)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _blocks(fp: np.ndarray, radius: int) -> list[np.ndarray]:
+    """The fingerprint in radius + 1 parts: two fingerprints within the radius agree in one of them at least."""
+    width = 64 // (radius + 1)
+    return [(fp >> np.uint64(b * width)) & np.uint64((1 << (width if b < radius else 64 - b * width)) - 1) for b in range(radius + 1)]
+
+
+def item_index(benchmark: DataFrame, window: int, radius: int) -> DataFrame:
+    """(n, block, value, slot, fp, words, item_id): the items' windows of n words under each part of their fingerprint, as a table."""
+
+    def one(item, text):  # noqa: ANN001, ANN202
+        h, _ = word_hashes([text or ""])
+        n = min(window, len(h))
+        if item is None or not n:
+            return []
+        fp = window_simhash(h, n)
         out = []
-        for n, (words, item, fp, blocks) in self.groups.items():
-            m = len(h) - n + 1
-            if m <= 0:
-                continue
-            whole = text[:m] == text[n - 1 :]
-            sim = window_simhash(h, n)
-            for at, width, values, order, cut, seen in blocks:
-                v = (sim >> np.uint64(at)) & np.uint64((1 << width) - 1)
-                w = np.flatnonzero(seen[(v >> cut).astype(np.int64)] & whole)
-                lo, hi = np.searchsorted(values, v[w], "left"), np.searchsorted(values, v[w], "right")
-                c = hi - lo
-                if not c.sum():
-                    continue
-                a = np.repeat(w, c)
-                k = order[np.repeat(lo - np.concatenate(([0], np.cumsum(c)[:-1])), c) + np.arange(c.sum())]
-                near = np.bitwise_count(sim[a] ^ fp[k]) <= self.radius
-                a, k = a[near], k[near]
-                if not len(a):
-                    continue
-                same = h[a[:, None] + np.arange(n)] == words[k]
-                score = (same[:, 1:] & same[:, :-1]).mean(axis=1) if n > 1 else same.mean(axis=1)
-                keep = score >= least
-                out.append((text[a[keep]], item[k[keep]], score[keep]))
-        if not out:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
-
-
-def _one_pass(docs: DataFrame, index: ItemIndex, least: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    st = T._parse_datatype_string("doc_id long, item_id long, similarity double")
+        for b, v in enumerate(_blocks(fp, radius)):
+            s = _slots(v, b).tolist()
+            out.extend((n, b, value, s[i], f, h[i : i + n].tobytes(), item) for i, (value, f) in enumerate(zip(v.view(np.int64).tolist(), fp.view(np.int64).tolist())))
+        return out
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    return materialize(map_rows(items, "n int, block int, value long, slot long, fp long, words binary, item_id long", one).distinct())
+
+
+def _slot_maps(index: DataFrame) -> dict[int, np.ndarray]:
+    """For each window length the slots that the index uses, as bits: at most window lengths x SLOTS / 8 bytes, however many items there are."""
+    slot = F.col("slot") + 1
+    rows = index.groupBy("n", F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    maps: dict[int, np.ndarray] = {}
+    for r in rows.toLocalIterator():
+        m = maps.setdefault(r["n"], np.zeros(SLOTS, np.bool_))
+        at = (r["bucket"] - 1) * BUCKET
+        m[at : at + BUCKET] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")[:BUCKET].view(np.bool_)
+    return maps
+
+
+def _document_windows(docs: DataFrame, maps: dict[int, np.ndarray], radius: int) -> DataFrame:
+    """(doc_id, n, block, value, fp, words): windows of the documents whose part of the fingerprint may be in the index."""
+    shared = docs.sparkSession.sparkContext.broadcast({n: np.packbits(m) for n, m in maps.items()})
+    st = T._parse_datatype_string("doc_id long, n int, block int, value long, fp long, words binary")
     arrow = to_arrow_schema(st)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = {n: np.unpackbits(m).view(np.bool_) for n, m in shared.value.items()}
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -161,37 +162,53 @@ def _one_pass(docs: DataFrame, index: ItemIndex, least: float) -> DataFrame:
                     size += len(texts[hi])
                     hi += 1
                 h, text = word_hashes(texts[lo:hi])
-                t, item, score = shared.value.match(h, text, least)
-                if len(t):
-                    order = np.lexsort((-score, item, t))
-                    t, item, score = t[order], item[order], score[order]
-                    first = np.concatenate(([True], (t[1:] != t[:-1]) | (item[1:] != item[:-1])))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][t[first]]), pa.array(item[first]), pa.array(score[first])], schema=arrow)
+                for n, slots in used.items():
+                    m = len(h) - n + 1
+                    if m <= 0:
+                        continue
+                    whole = text[:m] == text[n - 1 :]
+                    sim = window_simhash(h, n)
+                    for block, v in enumerate(_blocks(sim, radius)):
+                        w = np.flatnonzero(slots[_slots(v, block)] & whole)
+                        if not len(w):
+                            continue
+                        _, first = np.unique(np.stack([text[w].astype(np.uint64), window_keys(h, n)[w]]), axis=1, return_index=True)
+                        w = w[first]
+                        words = h[w[:, None] + np.arange(n)]
+                        cols = [pa.array(ids[lo:hi][text[w]]), pa.array(np.full(len(w), n, np.int32)), pa.array(np.full(len(w), block, np.int32)), pa.array(v[w].view(np.int64)), pa.array(sim[w].view(np.int64)), pa.array([x.tobytes() for x in words], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(cols, schema=arrow)
                 lo = hi
 
     return docs.mapInArrow(run, st)
 
 
-def leaked_items(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, radius: int = RADIUS, least: float = 1.0) -> DataFrame:
-    """(doc_id, item_id, similarity): documents holding a window of an item, or the whole item where it is shorter than a window.
+def leaked_items(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, radius: int = RADIUS, least: float = 1.0, shingle: int = 2) -> DataFrame:
+    """(doc_id, item_id, similarity, equal): documents with a window like a window of an item, or like the whole item where it is shorter than a window.
 
-    similarity is the best share of equal two-word shingles of the windows compared; least 1.0 asks for equal words. The
-    held-out items are a stated query set against all documents: they are read to the driver and sent to the executors
-    in blocks of PASS_WINDOWS windows, one pass over the documents a block. Null and empty texts and items without words
-    match nothing; texts are processed whole; a doc_id that is repeated gives its items once.
+    Windows are candidates when their SimHashes lie within the radius; the parts of the fingerprints are an equi-join key,
+    so that none within it is missed. similarity is the best weighted similarity of their runs of shingle words, of at
+    least least; equal says that some window has the item's words in the item's order. The index of the items is a
+    table and is never held whole by a task: what is sent to all is a bitmap of bounded size, which only keeps windows
+    from the shuffle. Null and empty texts and items without words match nothing; texts are processed whole; a doc_id
+    that is repeated gives its items once.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    passes, block, n = [], [], 0
-    for r in benchmark.select("item_id", "text").distinct().toLocalIterator():
-        if r["text"]:
-            block.append((r["item_id"], r["text"]))
-            n += r["text"].count(" ") + 1
-        if n >= PASS_WINDOWS:
-            passes.append(block)
-            block, n = [], 0
-    passes.append(block)
-    out = None
-    for b in passes:
-        one = _one_pass(docs, ItemIndex(b, window, radius), least)
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    index = item_index(benchmark, window, radius)
+    seen = _document_windows(docs, _slot_maps(index), radius)
+    right = index.select("n", "block", "value", F.col("fp").alias("item_fp"), F.col("words").alias("item_words"), "item_id")
+    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    width = 64 // (radius + 1)
+    first = F.lit(True)  # a pair is compared under the first part in which it agrees
+    for b in range(radius):
+        part = F.shiftrightunsigned(apart, b * width).bitwiseAND(F.lit((1 << width) - 1))
+        first = first & ((F.col("block") <= b) | (part != 0))
+    pairs = seen.join(right, ["n", "block", "value"]).where((F.bit_count(apart) <= radius) & first)
+
+    def compared(doc_id, item_id, words, item_words):  # noqa: ANN001, ANN202
+        a, b = np.frombuffer(words, np.uint64), np.frombuffer(item_words, np.uint64)
+        equal = words == item_words
+        s = 1.0 if equal else weighted_similarity(a, b, shingle)
+        return [(doc_id, item_id, s, equal)] if s >= least else []
+
+    out = map_rows(pairs.select("doc_id", "item_id", "words", "item_words"), "doc_id long, item_id long, similarity double, equal boolean", compared)
+    return out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("equal").alias("equal"))

@@ -14,6 +14,8 @@ from corpusloom.session import materialize
 
 #: Shortest suffix in the index, and most spellings a suffix may block before it is refined by the other tokens' initials.
 MIN_SUFFIX, COMMON = 3, 40
+#: Least LCS ratio of two whole names of which both parts differ.
+RATIO = 0.8
 #: A token is an own name, not a typo of another, when it stands in so many spellings of the host.
 ESTABLISHED = 3
 
@@ -103,11 +105,11 @@ def lcs_ratio(a: str, b: str) -> float:
 
 
 def close(a: str, b: str, seen: dict[str, int]) -> bool:
-    """Whether two tokens are one but for a slip: all characters but one in common order; never two established names."""
+    """Whether two tokens are one but for a slip: their LCS ratio is what one slip leaves of the longer; never two established names."""
     if a == b:
         return True
     n = max(len(a), len(b))
-    if n < 4 or abs(len(a) - len(b)) > 1 or lcs(a, b) < n - 1:
+    if n < 4 or lcs_ratio(a, b) < 1 - 1 / n - 1e-9:
         return False
     return not (seen.get(a, 0) >= ESTABLISHED and seen.get(b, 0) >= ESTABLISHED)
 
@@ -121,6 +123,8 @@ def same_name(a: tuple[str, list[str], list[str]], b: tuple[str, list[str], list
     if a[0] != b[0]:
         return 0
     x, y = a[1], b[1]
+    if len(x) >= 2 and len(y) >= 2 and a[2] and b[2] and a[2][0] != b[2][0]:  # middle initials that differ
+        return 0
     if a[0] == "o":
         if len(x) == len(y):
             left = list(y)
@@ -136,12 +140,12 @@ def same_name(a: tuple[str, list[str], list[str]], b: tuple[str, list[str], list
                     slips += 1
             return 2 if slips <= 1 else 0
         p, q = "".join(x), "".join(y)
-        return 2 if sorted(p) == sorted(q) and abs(len(x) - len(y)) == 1 else 0
+        return 2 if sorted(p) == sorted(q) and abs(len(x) - len(y)) == 1 and lcs_ratio(p, q) >= 0.5 else 0
     if len(x) == len(y) == 2 and not (x == y):
         for u, v in ((y[0], y[1]), (y[1], y[0])):
             first = close(x[0], u, seen) or _expand(x[0]) & _expand(u)
             second = close(x[1], v, seen) or _expand(x[1]) & _expand(v)
-            if first and second and (x[0] == u or x[1] == v or lcs_ratio(x[0] + x[1], u + v) >= 0.8 or _expand(x[0]) & _expand(u) or _expand(x[1]) & _expand(v)):
+            if first and second and (x[0] == u or x[1] == v or lcs_ratio(x[0] + x[1], u + v) >= RATIO or _expand(x[0]) & _expand(u) or _expand(x[1]) & _expand(v)):
                 return 2
         return 0
     if x == y and len(x) >= 2:
@@ -164,8 +168,8 @@ def same_name(a: tuple[str, list[str], list[str]], b: tuple[str, list[str], list
     return 0
 
 
-def _keys(kind: str, full: list[str], initials: list[str]) -> list[tuple[str, str]]:
-    """(suffix, refined suffix) of a name's tokens, read from both ends. A token and a slip of it share one of at least half their length."""
+def _keys(kind: str, full: list[str], initials: list[str]) -> list[tuple[str, str, bool]]:
+    """(suffix, refined suffix, whether it is a whole token) of a name's tokens, read from both ends. A token and a slip of it share one of at least half their length."""
     out = set()
     for i, t in enumerate(full):
         others = "".join(sorted({v[0] for k, u in enumerate(full) if k != i for v in _expand(u)} | set(initials[:1])))
@@ -173,15 +177,15 @@ def _keys(kind: str, full: list[str], initials: list[str]) -> list[tuple[str, st
         for w, tag in ((t, ">"), (t[::-1], "<")):
             for k in range(min(least, len(w)), len(w) + 1):
                 s = tag + w[len(w) - k :]
-                out.update((s, s + "|" + c) for c in (others or "-"))
+                out.update((s, s + "|" + c, k == len(w)) for c in (others or "-"))
         for v in _expand(t):
             if v != t:
-                out.update((">" + v, ">" + v + "|" + c) for c in (others or "-"))
+                out.update((">" + v, ">" + v + "|" + c, True) for c in (others or "-"))
     return list(out)
 
 
 def _node(p: tuple[str, list[str], list[str]]) -> str:
-    return f"{p[0]}|{' '.join(p[1])}|{' '.join(p[2][:1] if len(p[1]) < 2 else [])}"
+    return f"{p[0]}|{' '.join(p[1])}|{' '.join(p[2][:1])}"
 
 
 def _unnode(n: str) -> tuple[str, list[str], list[str]]:
@@ -193,9 +197,9 @@ def name_variants(articles: DataFrame, host_col: str = "host", author_col: str =
     """(host, author, entity): each distinct author string of a host with the spelling its entity goes by.
 
     Spellings with the same parts are one node. Nodes that share a token suffix are compared; a suffix that blocks more
-    than COMMON nodes is refined by the initials of the other tokens, and every token is also indexed whole, so that
-    nothing is dropped. A node joins the hub (the full spelling with most support) it agrees with; initials that fit
-    several hubs of a host stay apart. Null, empty and generic authors, strings that name two people, and null hosts
+    than COMMON nodes is refined by the initials of the other tokens, and a refined suffix that is still common is
+    discarded; whole tokens and longer suffixes are indexed too and whole tokens are never discarded. A node joins the hub (the full spelling with most support) it agrees with; initials that fit
+    several hubs of a host stay apart, and so do full names with different middle initials. Null, empty and generic authors, strings that name two people, and null hosts
     give no rows; repeated rows count once.
     """
     raw = articles.select(F.col(host_col).alias("host"), F.col(author_col).alias("author")).where(F.col("host").isNotNull() & F.col("author").isNotNull()).distinct()
@@ -210,11 +214,13 @@ def name_variants(articles: DataFrame, host_col: str = "host", author_col: str =
     with_seen = nodes.select("host", "node", F.explode("tokens").alias("token")).join(seen, ["host", "token"]).groupBy("host", "node").agg(F.map_from_entries(F.collect_set(F.struct("token", "seen"))).alias("seen"))
 
     def keyed(host, node):  # noqa: ANN001, ANN202
-        return [(host, node, s, r) for s, r in _keys(*_unnode(node))]
+        return [(host, node, s, r, w) for s, r, w in _keys(*_unnode(node))]
 
-    keys = materialize(map_rows(nodes.select("host", "node"), "host string, node string, suffix string, refined string", keyed))
+    keys = materialize(map_rows(nodes.select("host", "node"), "host string, node string, suffix string, refined string, whole boolean", keyed))
     common = keys.select("host", "suffix", "node").distinct().groupBy("host", "suffix").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("host", "suffix", F.lit(True).alias("common"))
-    block = keys.join(common, ["host", "suffix"], "left").select("host", "node", F.when(F.col("common"), F.col("refined")).otherwise(F.col("suffix")).alias("key")).distinct()
+    block = keys.join(common, ["host", "suffix"], "left").select("host", "node", "common", "whole", F.when(F.col("common"), F.col("refined")).otherwise(F.col("suffix")).alias("key")).distinct()
+    still = block.where(F.col("common") & ~F.col("whole")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("host", "key")
+    block = block.join(still.withColumn("drop", F.lit(True)), ["host", "key"], "left").where(F.col("whole") | F.col("drop").isNull()).select("host", "node", "key").distinct()
     x, y = block.alias("x"), block.alias("y")
     pairs = x.join(y, (F.col("x.host") == F.col("y.host")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.host").alias("host"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     s1 = with_seen.select("host", F.col("node").alias("a"), F.col("seen").alias("sa"))
@@ -228,7 +234,7 @@ def name_variants(articles: DataFrame, host_col: str = "host", author_col: str =
     links = materialize(links)
     both = links.select("host", F.col("a").alias("node"), F.col("b").alias("to"), "strength").unionByName(links.select("host", F.col("b").alias("node"), F.col("a").alias("to"), "strength"))
     degree = both.where("strength = 2").groupBy("host", "node").agg(F.count("*").alias("degree"))
-    rank = nodes.join(degree, ["host", "node"], "left").select("host", "node", (F.col("support") * 1000 + F.least(F.coalesce("degree", F.lit(0)), F.lit(999))).alias("support"), F.when(F.size("tokens") >= 2, 1).otherwise(0).alias("whole"))
+    rank = nodes.join(degree, ["host", "node"], "left").select("host", "node", F.struct("support", F.coalesce("degree", F.lit(0)).alias("degree")).alias("support"), F.when(F.size("tokens") >= 2, 1).otherwise(0).alias("whole"))
     to_rank = rank.select("host", F.col("node").alias("to"), F.col("support").alias("to_support"), F.col("whole").alias("to_whole"))
     b = both.join(rank, ["host", "node"]).join(to_rank, ["host", "to"])
     above = (F.col("to_whole") == 1) & ((F.col("whole") == 0) | (F.col("strength") == 2) & ((F.col("to_support") > F.col("support")) | (F.col("to_support") == F.col("support")) & (F.col("to") < F.col("node"))))
@@ -238,8 +244,13 @@ def name_variants(articles: DataFrame, host_col: str = "host", author_col: str =
     to_hub = b.where("above").join(hubs, ["host", "to"]).groupBy("host", "node").agg(F.count("*").alias("hubs"), F.max("strength").alias("best"), F.max_by("to", F.struct("strength", "to_support", "to")).alias("hub"), F.max("whole").alias("whole"))
     label = to_hub.where("hubs = 1 or whole = 1").select("host", "node", "hub")
     unclear = to_hub.where("hubs > 1 and whole = 0").select("host", "node", F.lit(True).alias("unclear"))
-    out = names.join(label, ["host", "node"], "left").join(unclear, ["host", "node"], "left")
-    return out.select("host", "author", F.when(F.col("unclear"), F.concat(F.lit("?|"), "author")).otherwise(F.coalesce("hub", "node")).alias("entity"))
+    whole = F.size(F.split(F.split("node", r"\|")[1], " ")) >= 2
+    middle = F.split("node", r"\|")[2]
+    placed = nodes.select("host", "node").join(label, ["host", "node"], "left").select("host", "node", F.coalesce("hub", "node").alias("entity"), F.when(whole, middle).otherwise("").alias("middle"))
+    several = placed.where("middle <> ''").groupBy("host", "entity").agg(F.count_distinct("middle").alias("n")).where("n > 1").select("host", "entity", F.lit(True).alias("several"))
+    placed = placed.join(several, ["host", "entity"], "left").select("host", "node", F.when(F.col("several") & (F.col("middle") != ""), F.concat_ws("|", "entity", "middle")).otherwise(F.col("entity")).alias("entity"))
+    out = names.join(placed, ["host", "node"]).join(unclear, ["host", "node"], "left")
+    return out.select("host", "author", F.when(F.col("unclear"), F.concat(F.lit("?|"), "author")).otherwise(F.col("entity")).alias("entity"))
 
 
 def variant_pairs(variants: DataFrame) -> DataFrame:

@@ -58,8 +58,9 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
     return max(0.0, (same - chance) / (1 - chance))
 
 
-def _bands(sig: np.ndarray) -> list[int]:
-    return [xxhash.xxh64_intdigest(sig[i : i + ROWS].tobytes(), seed=i) - (1 << 63) for i in range(0, REGISTERS, ROWS)]
+def _bands(registers: str) -> F.Column:
+    """Keys of the bands of stored registers, computed where they are exploded."""
+    return F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(F.substring(registers, i * (2 * ROWS) + 1, F.lit(2 * ROWS)), i, F.col("kind")))
 
 
 def page_words(pages: DataFrame) -> DataFrame:
@@ -74,50 +75,50 @@ def page_words(pages: DataFrame) -> DataFrame:
 
 
 def _registers(df: DataFrame, side: str) -> DataFrame:
-    return df.select("kind", F.col("body").alias(side), F.col("size").alias(f"n{side}"), F.col("registers").alias(f"r{side}"))
+    return df.select(F.col("body").alias(side), F.col("size").alias(f"n{side}"), F.col("registers").alias(f"r{side}"))
 
 
 def _candidates(reps: DataFrame, least: float) -> DataFrame:
-    """(kind, a, b): bodies with a < b that share a band of registers and whose estimate reaches least.
+    """(a, b): bodies with a < b that share a band of registers and whose estimate reaches least.
 
     Bands of up to BLOCK bodies are joined by themselves, with 16 bytes a row, and the registers of the pairs found are
     compared. A larger band is cut into blocks of about BLOCK bodies by their hash; its blocks carry their registers, and
     each pair of blocks is one row of work, compared in numpy, so that no task holds a band and only what passes is emitted.
     """
-    bands = reps.select("kind", "body", F.explode("bands").alias("h"))
-    n = bands.groupBy("kind", "h").agg(F.count("*").alias("c"), F.min("body").alias("a"), F.max("body").alias("b")).where("c > 1")
-    n = materialize(n)
-    two = n.where("c = 2").select("kind", "a", "b")
-    more = bands.join(n.where(F.col("c").between(3, BLOCK)).select("kind", "h"), ["kind", "h"], "left_semi")
+    bands = reps.select("body", F.explode(_bands("registers")).alias("h"))
+    n = materialize(bands.groupBy("h").agg(F.count("*").alias("c"), F.min("body").alias("a"), F.max("body").alias("b")).where("c > 1"))
+    two = n.where("c = 2").select("a", "b")
+    more = bands.join(n.where(F.col("c").between(3, BLOCK)).select("h"), "h", "left_semi")
     x, y = more.alias("x"), more.alias("y")
-    many = x.join(y, (F.col("x.kind") == F.col("y.kind")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.body") < F.col("y.body"))).select(F.col("x.kind").alias("kind"), F.col("x.body").alias("a"), F.col("y.body").alias("b"))
-    few = two.unionByName(many).distinct().join(_registers(reps, "a"), ["kind", "a"]).join(_registers(reps, "b"), ["kind", "b"])
-
-    def near(kind, a, b, na, nb, ra, rb):  # noqa: ANN001, ANN202
-        j = estimate(np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16), na, nb)
-        return [(kind, a, b)] if j >= least and min(na, nb) >= least * max(na, nb) else []
-
-    few = map_rows(few.select("kind", "a", "b", "na", "nb", "ra", "rb"), "kind string, a long, b long", near)
-    hot = bands.join(n.where(F.col("c") > BLOCK).select("kind", "h", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts")), ["kind", "h"])
-    hot = hot.withColumn("part", F.pmod(F.xxhash64("body"), F.col("parts")).cast("int")).join(reps.select("kind", "body", "size", "registers"), ["kind", "body"])
-    block = hot.groupBy("kind", "h", "part").agg(F.array_sort(F.collect_list(F.struct("body", "size", "registers"))).alias("rows"))
-    block = block.select("kind", "h", "part", F.col("rows.body").alias("ids"), F.col("rows.size").alias("sizes"), F.array_join(F.transform("rows.registers", F.hex), "").alias("regs"))
+    many = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.body") < F.col("y.body"))).select(F.col("x.body").alias("a"), F.col("y.body").alias("b"))
+    few = two.unionByName(many).distinct().join(_registers(reps, "a"), "a").join(_registers(reps, "b"), "b")
+
+    def near(a, b, na, nb, ra, rb):  # noqa: ANN001, ANN202
+        if min(na, nb) < least * max(na, nb):
+            return []
+        return [(a, b)] if estimate(np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16), na, nb) >= least else []
+
+    few = map_rows(few.select("a", "b", "na", "nb", "ra", "rb"), "a long, b long", near)
+    hot = bands.join(n.where(F.col("c") > BLOCK).select("h", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts")), "h")
+    hot = hot.withColumn("part", F.pmod(F.xxhash64("body"), F.col("parts")).cast("int")).join(reps.select("body", "size", "registers"), "body")
+    block = hot.groupBy("h", "part").agg(F.array_sort(F.collect_list(F.struct("body", "size", "registers"))).alias("rows"))
+    block = block.select("h", "part", F.col("rows.body").alias("ids"), F.col("rows.size").alias("sizes"), F.col("rows.registers").alias("regs"))
     p, q = block.alias("p"), block.alias("q")
-    work = p.join(q, (F.col("p.kind") == F.col("q.kind")) & (F.col("p.h") == F.col("q.h")) & (F.col("p.part") <= F.col("q.part"))).select(F.col("p.kind").alias("kind"), "p.ids", "p.sizes", "p.regs", F.col("q.ids").alias("ids2"), F.col("q.sizes").alias("sizes2"), F.col("q.regs").alias("regs2"))
+    work = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.part") <= F.col("q.part"))).select("p.ids", "p.sizes", "p.regs", F.col("q.ids").alias("ids2"), F.col("q.sizes").alias("sizes2"), F.col("q.regs").alias("regs2"))
 
-    def blocks(kind, ids, sizes, regs, ids2, sizes2, regs2):  # noqa: ANN001, ANN202
-        r2 = np.frombuffer(bytes.fromhex(regs2), np.uint16).reshape(len(ids2), REGISTERS)
+    def blocks(ids, sizes, regs, ids2, sizes2, regs2):  # noqa: ANN001, ANN202
+        r2 = np.frombuffer(b"".join(regs2), np.uint16).reshape(len(ids2), REGISTERS)
         ids2, m = np.array(ids2), np.array(sizes2, np.float64)
         out = []
-        for i, n, r in zip(ids, sizes, np.frombuffer(bytes.fromhex(regs), np.uint16).reshape(len(ids), REGISTERS)):
+        for i, n, r in zip(ids, sizes, regs):
             chance = 1.44 * n * m / (n + m) ** 2 / (1 << MANTISSA)
-            j = ((r2 == r).mean(axis=1) - chance) / (1 - chance)
+            j = ((r2 == np.frombuffer(r, np.uint16)).mean(axis=1) - chance) / (1 - chance)
             for k in ids2[(j >= least) & (np.minimum(n, m) >= least * np.maximum(n, m))].tolist():
                 if i != k:
-                    out.append((kind, min(i, k), max(i, k)))
+                    out.append((min(i, k), max(i, k)))
         return out
 
-    return few.unionByName(map_rows(work, "kind string, a long, b long", blocks)).distinct()
+    return few.unionByName(map_rows(work, "a long, b long", blocks)).distinct()
 
 
 def near_duplicates(pages: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -130,28 +131,34 @@ def near_duplicates(pages: DataFrame, threshold: float = 0.8, width: int = 5, mi
     """
     words = materialize(page_words(pages))
     known = with_sets(words.drop("keys", "stats", "title"), host_sets(words.select("kind", "host", "title", "keys", "stats")))
+    cols = ("cells", "counts", "words", "freq", "content")
 
-    def signed(kind, rid, cells, counts, words, freq, content):  # noqa: ANN001, ANN202
+    def body(kind, cells, counts, words, freq, content):  # noqa: ANN001, ANN202
         shown = ~np.array(hidden(kind, cells, freq, content), np.bool_)
         w = np.frombuffer(words, np.uint32)
-        if len(shown):
-            w = w[np.repeat(shown, np.frombuffer(counts, np.int32))]
+        return w[np.repeat(shown, np.frombuffer(counts, np.int32))] if len(shown) else w
+
+    def signed(kind, rid, *rest):  # noqa: ANN001, ANN202
+        w = body(kind, *rest)
         if len(w) < max(min_words, width):
             return []
         s = shingle_hashes(w, width)
-        r = signature(s)
-        return [(kind, rid, xxhash.xxh3_64_intdigest(w.tobytes()) - (1 << 63), len(s), r.tobytes(), _bands(r), s.tobytes())]
+        return [(kind, rid, xxhash.xxh3_64_intdigest(kind.encode() + w.tobytes()) - (1 << 63), len(s), signature(s).tobytes())]
 
-    row = "kind string, id long, body long, size int, registers binary, bands array<long>, shingles binary"
-    bodies = materialize(map_rows(known.select("kind", "id", "cells", "counts", "words", "freq", "content"), row, signed))
+    bodies = materialize(map_rows(known.select("kind", "id", *cols), "kind string, id long, body long, size int, registers binary", signed))
     members = bodies.select("kind", "id", "body").distinct()
-    reps = materialize(bodies.groupBy("kind", "body").agg(F.first("size").alias("size"), F.first("registers").alias("registers"), F.first("bands").alias("bands")))
+    reps = bodies.dropDuplicates(["body"])
     pairs = materialize(_candidates(reps, threshold - 4 * (threshold * (1 - threshold) / REGISTERS) ** 0.5))
-    wanted = materialize(pairs.select("kind", F.col("a").alias("body")).unionByName(pairs.select("kind", F.col("b").alias("body"))).distinct())
-    sets = bodies.select("kind", "body", "id", "shingles").join(F.broadcast(wanted) if wanted.count() * 48 <= BROADCAST_LIMIT else wanted, ["kind", "body"], "left_semi")
-    sets = sets.groupBy("kind", "body").agg(F.first("shingles").alias("shingles"))
+    wanted = pairs.select(F.col("a").alias("body")).unionByName(pairs.select(F.col("b").alias("body"))).distinct()
+    wanted = materialize(bodies.groupBy("body").agg(F.min(F.struct("kind", "id")).alias("at")).join(wanted, "body").select("body", "at.*"))
+
+    def shingled(kind, rid, key, *rest):  # noqa: ANN001, ANN202
+        return [(kind, key, shingle_hashes(body(kind, *rest), width).tobytes())]
+
+    chosen = known.join(F.broadcast(wanted) if wanted.count() * 64 <= BROADCAST_LIMIT else wanted, ["kind", "id"]).select("kind", "id", "body", *cols)
+    sets = materialize(map_rows(chosen, "kind string, body long, shingles binary", shingled).dropDuplicates(["body"]))
     left = sets.select("kind", F.col("body").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select("kind", F.col("body").alias("b"), F.col("shingles").alias("sb"))
+    right = sets.select(F.col("body").alias("b"), F.col("shingles").alias("sb"))
 
     def compared(kind, a, b, sa, sb):  # noqa: ANN001, ANN202
         x, y = np.frombuffer(sa, np.uint32), np.frombuffer(sb, np.uint32)
@@ -159,7 +166,7 @@ def near_duplicates(pages: DataFrame, threshold: float = 0.8, width: int = 5, mi
         j = both / (len(x) + len(y) - both)
         return [(kind, a, b, j)] if j >= threshold else []
 
-    full = pairs.join(left, ["kind", "a"]).join(right, ["kind", "b"]).select("kind", "a", "b", "sa", "sb")
+    full = pairs.join(left, "a").join(right, "b").select("kind", "a", "b", "sa", "sb")
     return members, map_rows(full, "kind string, a long, b long, jaccard double", compared)
 
 

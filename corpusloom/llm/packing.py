@@ -17,10 +17,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from corpusloom.operators.arrow import map_rows
 from corpusloom.session import materialize
 
-#: Items of a block, islands of a block, individuals of an island and generations before and after migration.
-BLOCK, ISLANDS, POPULATION, GENERATIONS = 4000, 2, 5, 6
-#: Containers filled to less are opened again in a further round of blocks.
-GOOD, ROUNDS = 0.995, 3
+#: Items of a block, islands of a block, individuals of an island, and generations before and after migration at least.
+BLOCK, ISLANDS, POPULATION, GENERATIONS = 4000, 2, 6, 6
+#: Generations without a better packing after which an island that is above the lower bound stops.
+PATIENCE = 60
+#: Containers filled to less are opened again in a further round of blocks, until what is left is one block.
+GOOD = 0.995
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -106,7 +108,10 @@ def mutate(p: Packing, sizes: list[int], capacity: int, rng: random.Random) -> P
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, start: list[list[int]], generations: int = GENERATIONS, population: int = POPULATION) -> Packing:
-    """Best packing of an island; start: packings of other islands, as the container number of every item."""
+    """Best packing of an island; start: packings of other islands, as the container number of every item.
+
+    An island goes on beyond its generations while it is above the lower bound of containers and still gets better.
+    """
     rng = random.Random(seed)
     pool: list[Packing] = []
     for s in start:
@@ -133,9 +138,10 @@ def evolve(sizes: list[int], capacity: int, seed: int, start: list[list[int]], g
         pool.append(Packing(bins, loads))
     key = lambda p: (-len(p.bins), p.fitness(capacity))
     pool.sort(key=key, reverse=True)
-    for _ in range(generations):
-        if len(sizes) < 2:
-            break
+    bound = math.ceil(sum(sizes) / capacity)
+    done = stale = 0
+    while len(sizes) > 1 and generations and (done < generations or len(pool[0].bins) > bound and stale < PATIENCE):
+        done, stale, best = done + 1, stale + 1, key(pool[0])
         a, b = rng.sample(range(len(pool)), 2)
         child = crossover(pool[min(a, b)], pool[max(a, b)], sizes, capacity, rng)
         if rng.random() < 0.5:
@@ -143,6 +149,8 @@ def evolve(sizes: list[int], capacity: int, seed: int, start: list[list[int]], g
         pool.append(child)
         pool.sort(key=key, reverse=True)
         pool.pop()
+        if key(pool[0]) > best:
+            stale = 0
     return pool[0]
 
 
@@ -182,10 +190,11 @@ def _pack_round(items: DataFrame, total: int, capacity: int, turn: int) -> DataF
 
 
 def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str = "tokens") -> DataFrame:
-    """(doc_id, piece, size, container, load): every item whole in one container of at most capacity, an item over it in pieces.
+    """(doc_id, piece, size, container, load, first): every item whole in one container of at most capacity, an item over it in pieces.
 
-    All pieces of a large item but the last fill containers of their own. Items are hashed into blocks of about BLOCK
-    items, so that no size or id is hot; what stands in containers below GOOD goes through further rounds, mixed anew.
+    first is the number of the item's tokens before the piece. All pieces of a large item but the last fill containers
+    of their own. Items are hashed into blocks of about BLOCK items, so that no size or id is hot; what stands in
+    containers below GOOD goes through further rounds, mixed anew, until it is one block or no container gets fuller.
     Null sizes count as 0, and items of size 0 are put beside others. A repeated id is one item. Ties are settled by id.
     """
     s = sizes.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.greatest(F.coalesce(F.max(size_col), F.lit(0)), F.lit(0)).cast("int").alias("n"))
@@ -194,15 +203,43 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
     items = materialize(pieces.select("doc_id", "piece", F.when(F.col("piece") < F.col("pieces"), F.lit(capacity)).otherwise(F.col("n") - (F.col("pieces") - 1) * capacity).cast("int").alias("size")))
     full = items.where(F.col("size") == capacity).select("doc_id", "piece", "size", F.concat_ws("-", F.lit("f"), "doc_id", "piece").alias("container"), F.col("size").cast("long").alias("load"))
     rest, out = items.where(F.col("size") < capacity), full
-    for turn in range(ROUNDS):
-        total = rest.count()
-        if not total:
-            break
+    turn, total, before = 0, rest.count(), -1
+    while total:
         done = _pack_round(rest, total, capacity, turn)
-        good = F.lit(True) if turn == ROUNDS - 1 or total <= BLOCK else F.col("load") >= GOOD * capacity
-        kept = done.where(good).select("doc_id", "piece", "size", F.concat_ws("-", "turn", "block", "bin").alias("container"), "load")
-        out = out.unionByName(kept)
-        if turn == ROUNDS - 1 or total <= BLOCK:
+        last = total <= BLOCK or total == before
+        kept = done if last else done.where(F.col("load") >= GOOD * capacity)
+        out = out.unionByName(kept.select("doc_id", "piece", "size", F.concat_ws("-", "turn", "block", "bin").alias("container"), "load"))
+        if last:
             break
-        rest = done.where(~good).select("doc_id", "piece", "size")
-    return out
+        rest = done.where(F.col("load") < GOOD * capacity).select("doc_id", "piece", "size")
+        turn, before, total = turn + 1, total, rest.count()
+    return out.withColumn("first", ((F.col("piece") - 1) * F.lit(capacity)).cast("long"))
+
+
+def container_texts(documents: DataFrame, packed: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(container, doc_id, piece, text): the text of every piece in its container; the pieces of a document joined give its text again.
+
+    A cut falls on the token's place, moved back to the start of a character where a token ends inside one. Null texts
+    have empty pieces.
+    """
+    want = packed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "first", "size", "container"))).alias("pieces"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+
+    def cut(doc_id, text, pieces):  # noqa: ANN001, ANN202
+        if len(pieces) == 1:
+            return [(pieces[0]["container"], doc_id, 1, text or "")]
+        enc = _encoding(tokenizer)
+        ids = enc.encode_ordinary(text or "")
+        raw, ends = (text or "").encode(), [0]
+        for t in ids:
+            ends.append(ends[-1] + len(enc.decode_single_token_bytes(t)))
+        bounds = []
+        for p in pieces:
+            at = ends[min(p["first"], len(ids))]
+            while at < len(raw) and raw[at] & 0xC0 == 0x80:
+                at -= 1
+            bounds.append(at)
+        bounds.append(len(raw))
+        return [(p["container"], doc_id, p["piece"], raw[a:b].decode()) for p, a, b in zip(pieces, bounds, bounds[1:])]
+
+    return map_rows(texts.join(want, "doc_id"), "container string, doc_id long, piece int, text string", cut, ["doc_id", "text", "pieces"])

@@ -19,7 +19,7 @@ from corpusloom.llm.pii_labels import GIVEN, labelled_sentences
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 #: Training steps, and the least count of a word in the labelled table that makes it a lexical feature.
-STEPS, LEXICAL = 70, 12
+STEPS, LEXICAL = 90, 12
 #: Neighbours whose shapes are features of a token.
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 
@@ -275,13 +275,13 @@ _AT = r"(?:@|\s?@\s|\s?[(\[](?:at|AT)[)\]]\s?)"
 _DOT = r"(?:\.|\s?[(\[](?:dot|DOT)[)\]]\s?)"
 _EMAIL = re.compile(rf"[\w.+%-]+{_AT}[\w-]+(?:{_DOT}[\w-]+)+")
 _PHONE = re.compile(r"(?:\+|00)?[\d(][\d\s./()\-]{5,}\d(?:\s?(?:ext\.?|x|poste|App\.|Durchwahl)\s?\d{1,5})?", re.I)
-_ID = re.compile(r"(?=(?:\D*\d){5})[A-Z0-9](?:[A-Z0-9]|[ \-./](?=[A-Z0-9])){5,23}")
+_ID = re.compile(r"(?=(?:\D*\d){4})[A-Z0-9](?:[A-Z0-9]|[ \-./](?=[A-Z0-9])){5,23}")
 _EXT = re.compile(r"\s?(?:ext\.?|x)\s?\d{1,5}")
 _TITLE = re.compile(r"^(?:(?:Dr|Prof|Mr|Mrs|Ms|Mme|Mlle|Sr|Sra|Herr|Frau)\b\.?\s+)+")
 _NAME = re.compile(r"[^\W\d_][^\W\d_’'.\-]*\.?(?:[ \-’',]+[^\W\d_][^\W\d_]*\.?){1,4}")
 
 
-_ALPHA = re.compile(r"[^\W\d_]+")
+_ALPHA = re.compile(r"(?<!\d)[^\W\d_]+")
 # Words of names and of addresses that stand in small letters.
 _PARTICLES = frozenset("de del la las los du des von van der den di da dos le y e bin ibn al".split())
 _STREET = _PARTICLES | frozenset("rue allée avenue place quai chemin boulevard impasse cours route square passage calle avenida plaza paseo camino flat apt unit bis ter im am an zur zum les sur aux et d l".split())
@@ -326,7 +326,8 @@ def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | Non
     if not v or not _NAME.fullmatch(v) or not all(w[0].isupper() or w in _PARTICLES for w in _ALPHA.findall(v)) or sum(w[0].isupper() for w in _ALPHA.findall(v)) < 2:
         return None
     at = text.index(v, start)
-    return at, at + len(v)
+    end = at + len(v)
+    return at, end + (re.search(r"(?:^|[\s.])[^\W\d_]$", v) is not None and text[end : end + 1] == ".")
 
 
 def mentions(texts: list[str], model: Tagger) -> list[list[tuple[int, int, str]]]:

@@ -31,7 +31,7 @@ _EN = [
     "The parcel for {n} went to {a}.", "We moved to {a} in spring.", "{a}", "Address: {a}", "Visit us at {a}!", "{n} rents a room at {a}.", "Invoices: {n}, {a}.", "Meet me outside {a}.", "Home: {a}; work: {a}", "Return to {a}, please.", "The will of {n}, late of {a}, was read.", "He lived at {a} and his number was {i}.", "Deliver to {n}, {a}, and phone {p}.",
     "Nobody told {n}.", "Before that, {n} ran a bakery.", "In {town}, {n} met {n}.", "Was it {n} who called?", "As {n} put it, rain is likely.", "“I never saw it,” said {n}.", "The letter from {n} arrived.", "{n} said no.", "says {n} of {firm}.", "Posted by {n} on {day}", "{n} wrote back from {town}.", "Contact {n}.", "Contact {n}: {e}.", "Contact {n} or {n} first.", "Dear {n}, the {word} is yours.", "Ask Dr. {n} or Mrs. {n}.", "Mr. {n} and {n} agreed.", "The {word} goes to {n} now.", "Has {n} paid for {make}?", "{n} of {firm} left {town}.", "{n} and {n} ran {make} for years.",
     "{n} has {doc} {i}.", "{n} quoted {doc} {i}.", "{n} presented {doc} {i} today.", "{doc} {i}, issued in {town}", "Bring {doc} {i} along.", "His {doc}, {i}, is blocked.", "We need {doc} {i} for {n}.", "{n} moved to {a}; {doc} {i}.", "under {doc} {i}. {make} is slow.", "{doc}: {i}", "the {doc} {i} of {n}",
-    "or dial {p}.", "It rings on {p} until ten.", "{n} answers {p} and {e}.", "Try {p}, then {p}.", "or call {p}. {n} knows.", "At {a}, ring twice.", "{a}: two rooms", "{n}, {a}, {town}", "Parcels for {a} wait.", "{n} lives near {a} with {n}.", "Take {doc} {i} to {a}.", "{n} of {a} showed {doc} {i}.", "{n} showed {doc} {i} at noon.", "{n} needs the {doc} {i}.", "Check: {doc} {i}, tel. {p}.", "{n} (of {town}) showed {doc} {i} at ten.", "for {n} the {doc} {i}. {make} is slow.", "tel {p}", "tel {p} {make}", "-- {n}", "{n} {a} tel {p}", "{n} stays at {a} and has {doc} {i}.", "stays at {a} and has {doc} {i}.", "{doc} {i}; tel. {p}.", "{doc} {i}, tel. {p}, mail {e}.", "{n} (from {town}) has {doc} {i} with her.", "A loan for {n} calls for {doc} {i}.", "{n}", "{n}", "mail {e} by {day}.", "{e} by noon.", "{n}: {doc} {i}", "Interview with {n}: part {d1}",
+    "or dial {p}.", "It rings on {p} until ten.", "{n} answers {p} and {e}.", "Try {p}, then {p}.", "or call {p}. {n} knows.", "At {a}, ring twice.", "{a}: two rooms", "{n}, {a}, {town}", "Parcels for {a} wait.", "{n} lives near {a} with {n}.", "Take {doc} {i} to {a}.", "{n} of {a} showed {doc} {i}.", "{n} showed {doc} {i} at noon.", "{n} needs the {doc} {i}.", "Check: {doc} {i}, tel. {p}.", "{n} (of {town}) showed {doc} {i} at ten.", "for {n} the {doc} {i}. {make} is slow.", "tel {p}", "tel {p}; {make}", "-- {n}", "{n}; {a}; tel {p}", "{n} stays at {a} and has {doc} {i}.", "stays at {a} and has {doc} {i}.", "{doc} {i}; tel. {p}.", "{doc} {i}, tel. {p}, mail {e}.", "{n} (from {town}) has {doc} {i} with her.", "A loan for {n} calls for {doc} {i}.", "{n}", "{n}", "mail {e} by {day}.", "{e} by noon.", "{n}: {doc} {i}", "Interview with {n}: part {d1}",
 ]
 _FR = [
     "Ma voisine {n} élève des abeilles.", "Merci à {n} pour le gâteau.", "{n} a raté son train.", "Mme {n} enseigne le piano.", "M. {n} est absent.", "Selon {n}, il va pleuvoir.", "D'après {n}, tout va bien.", "Photo : {n}", "Bonjour {n}, ça va ?", "Signé {n}", "Répondez à {e}.", "Courriel : {e}", "Mon adresse {e} ne marche plus.", "Joindre {n} ({e}) ou {p}.",

@@ -22,13 +22,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row a record: its class of equal bodies and the number of classes within 0.8 by runs of five words."""
     pages = markdown_pages(load(spark, d, "page_markdown")).unionByName(cache_pages(load(spark, d, "page_cache")))
-    return neardup.duplicate_classes(*neardup.near_duplicates(pages)).select(F.col("kind").alias("field"), "id", "class_id", "links")
+    return neardup.duplicate_classes(*neardup.near_duplicates(pages, threshold=0.8, width=5)).select(F.col("kind").alias("field"), "id", "class_id", "links")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variant_pairs(names.name_variants(load(spark, d, "article_meta")))
 
 
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    """One row a spelling of a host: the entity it belongs to."""
+    return names.name_variants(load(spark, d, "article_meta"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pages = html_pages(load(spark, d, "page_store")).unionByName(markdown_pages(load(spark, d, "page_markdown")))
     return boilerplate.boilerplate_positions(pages).select(F.col("kind").alias("field"), F.col("id").alias("page_id"), "pos")
@@ -68,7 +73,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_items(load(spark, d, "documents"), load(spark, d, "benchmark")).select("doc_id", "item_id")
+    """Documents that hold ten consecutive words of an item, or all words of a shorter one."""
+    return leakage.leaked_items(load(spark, d, "documents"), load(spark, d, "benchmark")).where("equal").select("doc_id", "item_id")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -76,6 +82,12 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.token_sizes(load(spark, d, "documents")), 4096)
 
 
+def p8_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The text of every piece, in its container."""
+    docs = load(spark, d, "documents")
+    return packing.container_texts(docs, packing.pack(packing.token_sizes(docs), 4096))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.personal_data(load(spark, d, "documents"))
 
