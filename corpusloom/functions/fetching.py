@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import let
+
 # States and marks of blocked responses.
 BLOCK_STATUS = (403, 429, 503, 520, 521, 522, 523, 524, 525, 526, 527, 528, 529, 530)
 BODY_MARKS = ("__cf_bm", "captcha", "cf-challenge", "cf-turnstile", "challenge-platform", "cloudflare", "data-sitekey", "ddos protection", "g-recaptcha", "hcaptcha", "datadome", "enable javascript and cookies")
@@ -18,17 +20,22 @@ RETRY_STATUS = (408, 409, 425, 429, 500, 502, 503, 504, 520, 521, 522, 523, 524)
 
 def block_reason(status: Column, html: Column, server: Column | None = None) -> Column:
     """First sign that a response is a block or challenge; null for none. Null status and html count as absent and empty."""
-    body = F.lower(F.coalesce(html, F.lit("")))
+    low = F.lower(F.coalesce(html, F.lit("")))
     srv = F.lower(F.coalesce(server, F.lit(""))) if server is not None else F.lit("")
-    out = F.when(status.isin(*BLOCK_STATUS) | (status >= 500), F.concat(F.lit("http_status:"), status)).when(F.trim(F.regexp_replace(body, r"\s+", "")) == "", F.lit("empty_body"))
-    said = reduce(lambda a, b: a | b, [F.contains(body, F.lit(w)) for w in SERVER_WORDS])
-    for s in SERVERS:
-        out = out.when(F.contains(srv, F.lit(s)) & said, F.lit(f"server_challenge:{s}"))
-    for m in TITLE_MARKS:
-        out = out.when(F.contains(body, F.lit(m)) & body.rlike(rf"<title>\s*(?:\d+\s+)?{m}\b|<h1[^>]*>\s*(?:\d+\s+)?{m}\b"), F.lit(f"body_marker:{m}"))
-    for m in BODY_MARKS:
-        out = out.when(F.contains(body, F.lit(m)), F.lit(f"body_marker:{m}"))
-    return out
+
+    def marked(body: Column) -> Column:
+        holds = {m: F.contains(body, F.lit(m)) for m in (*TITLE_MARKS, *BODY_MARKS, *SERVER_WORDS)}
+        out = F.when(~body.rlike(r"\S"), F.lit("empty_body"))
+        said = reduce(lambda a, b: a | b, [holds[w] for w in SERVER_WORDS])
+        for s in SERVERS:
+            out = out.when(F.contains(srv, F.lit(s)) & said, F.lit(f"server_challenge:{s}"))
+        for m in TITLE_MARKS:
+            out = out.when(holds[m] & body.rlike(rf"<title>\s*(?:\d+\s+)?{m}\b|<h1[^>]*>\s*(?:\d+\s+)?{m}\b"), F.lit(f"body_marker:{m}"))
+        for m in BODY_MARKS:
+            out = out.when(holds[m], F.lit(f"body_marker:{m}"))
+        return out
+
+    return F.when(status.isin(*BLOCK_STATUS) | (status >= 500), F.concat(F.lit("http_status:"), status)).otherwise(let(low, marked))
 
 
 def should_retry(status: Column) -> Column:

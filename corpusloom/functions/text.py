@@ -91,10 +91,6 @@ def reading_minutes(text: Column, per_minute: int = 220) -> Column:
     return F.when(n > 0, F.greatest(F.lit(1), F.bround(n / F.lit(per_minute)).cast("int"))).otherwise(0)
 
 
-def fold(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-
-
 def phones(text: Column) -> Column:
     """Distinct phone numbers as their digits with a leading +, where there are at least 7 digits."""
     found = F.regexp_extract_all(text, F.lit(r"(?U)\+?\d[\d\s\x1c-\x1f().-]{6,}\d"), 0)

@@ -27,6 +27,10 @@ FIELDS: dict[str, tuple[str, Callable]] = {
         "struct<title:string,description:string,site_name:string,authors:array<string>,author:string,date_published:string,date_modified:string,section:string,keywords:array<string>,canonical_url:string,image:string,language:string,reading_time_minutes:int>",
         lambda h, u, d: P.article_metadata(h, P.article(h)["text"]),
     ),
+    "content_links": ("array<string>", lambda h, u, d: P.content_links(h, u)),
+    "feed_spider_links": ("array<string>", lambda h, u, d: P.feed_spider_links(d(), u)),
+    "search_results": ("array<struct<title:string,link:string,displayed_url:string,description:string,sitelinks:array<struct<title:string,link:string>>>>", lambda h, u, d: P.search_results(d())),
+    "sitemap_hints": ("array<string>", lambda h, u, d: P.sitemap_hints(d(), u)),
     "signature": ("string", lambda h, u, d: P.signature(parse(h))),
     "tag_pattern": ("string", lambda h, u, d: P.tag_pattern(d())),
     "forms": (f"array<struct<index:int,action:string,method:string,enctype:string,fields:array<{_FIELD}>,preview:string>>", lambda h, u, d: P.forms(d(), u)),
@@ -106,11 +110,11 @@ def sitemap_pages(sitemaps: DataFrame, roots: list[str], limit: int = 1000, dept
 
 
 def allowed_by_robots(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
-    """urls (host, url) with allowed and crawl_delay by the robots text of their host; hosts without one allow all."""
+    """urls (host, url) with allowed and delay by the robots text of their host; hosts without one allow all."""
     joined = urls.join(robots.select("host", F.col("text").alias("_r")), "host", "left")
 
     def one(host, url, text):  # noqa: ANN001, ANN202
         ok, delay, _ = P.robots(text, agent, [url or ""])
         return [(host, url, ok[0], delay)]
 
-    return map_rows(joined.select("host", "url", "_r"), "host string, url string, allowed boolean, crawl_delay double", one)
+    return map_rows(joined.select("host", "url", "_r"), "host string, url string, allowed boolean, delay double", one)

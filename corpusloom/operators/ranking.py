@@ -35,14 +35,13 @@ def first_seen(df: DataFrame, key: list[str], order: list[Column | str]) -> Data
 
 
 def longest_prefix(urls: DataFrame, prefixes: DataFrame, path_col: str = "path", prefix_col: str = "prefix") -> DataFrame:
-    """urls with the longest prefix that starts their path (null for none): the prefixes of a path are made and equi-joined, so no pair is compared."""
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(path_col))), lambda i: F.substr(F.col(path_col), F.lit(1), i))
-    ids = urls.withColumn("_id", F.monotonically_increasing_id())
-    p = prefixes.select(F.col(prefix_col).alias("_p")).distinct()
-    lengths = [r[0] for r in p.select(F.length("_p")).distinct().collect()]
-    cand = ids.select("_id", F.explode(F.filter(cut, lambda x: F.length(x).isin(*lengths) if lengths else F.lit(False))).alias("_p"))
-    best = cand.join(p, "_p").groupBy("_id").agg(F.max_by("_p", F.length("_p")).alias(prefix_col))
-    return ids.join(best, "_id", "left").drop("_id")
+    """urls with the longest prefix that starts their path (null for none): the prefixes of each distinct path are made and equi-joined, so no pair is compared."""
+    p = prefixes.select(F.col(prefix_col).alias("_p")).where("_p <> ''").distinct()
+    lengths = [r[0] for r in p.select(F.length("_p")).distinct().collect()]  # as many as the longest prefix has characters
+    paths = urls.select(F.col(path_col).alias("_path")).where("_path is not null").distinct()
+    cuts = F.array(*[F.when(F.length("_path") >= n, F.substring("_path", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
+    best = paths.select("_path", F.explode(cuts).alias("_p")).join(p, "_p").groupBy("_path").agg(F.max_by("_p", F.length("_p")).alias(prefix_col))
+    return urls.join(best, F.col(path_col) == F.col("_path"), "left").drop("_path")
 
 
 def admit(urls: DataFrame, budget: dict[str, int], order: list[str], path_col: str = "path") -> DataFrame:
@@ -57,7 +56,9 @@ def admit(urls: DataFrame, budget: dict[str, int], order: list[str], path_col: s
         limit = F.coalesce(*[F.when(F.startswith(F.col(path_col), F.lit(p)), F.lit(budget[p])) for p in paths])
         out = out.withColumn("_p", best).withColumn("_l", limit)
         w = Window.partitionBy("_p").orderBy(*order)
-        out = out.withColumn("_r", F.row_number().over(w)).where(F.col("_p").isNull() | (F.col("_r") <= F.col("_l"))).drop("_p", "_l", "_r")
+        free = out.where(F.col("_p").isNull())  # rows of no prefix need no rank, and are not brought together
+        ranked = out.where(F.col("_p").isNotNull()).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("_l")).drop("_r")
+        out = free.unionByName(ranked).drop("_p", "_l")
     if "*" in budget:
         out = out.orderBy(*order).limit(budget["*"])
     return out

@@ -6,7 +6,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import islice
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -83,15 +83,27 @@ def bands(v: Column, max_distance: int = 3) -> Column:
     return F.array(*out)
 
 
+def block_keys(v: Column, max_distance: int = 3) -> Column:
+    """array of keys: the value is cut into twice max_distance parts, and a key is any max_distance of them together.
+
+    Two values within the distance differ in max_distance parts at most, so that they share a key. A key holds half of
+    the bits, against a quarter in bands, and its buckets stay small where a table grows.
+    """
+    n = 2 * max_distance
+    edges = [64 * i // n for i in range(n + 1)]
+    masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in part) for part in combinations(range(n), n - max_distance)]
+    return F.array(*[F.xxhash64(v.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)), F.lit(k)) for k, m in enumerate(masks)])
+
+
 def neardup_pairs(df: DataFrame, id_col: str, fp_col: str, max_distance: int = 3) -> DataFrame:
     """(id_a, id_b, distance) with id_a < id_b: representatives of different fingerprints within the distance.
 
     Rows of one fingerprint are one representative (the least id), so copies never meet; null fingerprints have no pairs.
     """
     reps = df.where(F.col(fp_col).isNotNull()).groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("id"))
-    b = reps.select("id", "fp", F.explode(bands(F.col("fp"), max_distance)).alias("x")).select("id", "fp", "x.band", "x.value")
+    b = reps.select("id", "fp", F.explode(block_keys(F.col("fp"), max_distance) if max_distance else F.array("fp")).alias("key"))
     x, y = b.alias("x"), b.alias("y")
-    p = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.id") < F.col("y.id")))
+    p = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
     d = distance(F.col("x.fp"), F.col("y.fp"))
     return p.where(d <= max_distance).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), d.alias("distance")).distinct()
 

@@ -15,6 +15,10 @@ from corpusloom.session import materialize
 _RULE = "tech string, channel string, key string, pattern string, token string, confidence int, version string"
 
 
+#: Groups of a pattern that a version may name.
+GROUPS = 9
+
+
 def compile_rule(raw: str) -> tuple[str, str, int, str] | None:
     r"""(pattern, token, confidence, version template) of `pattern\;confidence:NN\;version:\1`; None where the pattern is no regex.
 
@@ -30,9 +34,10 @@ def compile_rule(raw: str) -> tuple[str, str, int, str] | None:
         elif k == "version":
             version = v
     try:
-        re.compile(pattern)
+        groups = re.compile(pattern).groups
     except re.error:
         return None
+    version = re.sub(r"\\([1-9])", lambda m: m.group(0) if int(m.group(1)) <= groups else "", version)
     runs = re.findall(r"[A-Za-z0-9_]{3,}", re.sub(r"\\.|\[[^\]]*\]|\(\?[^)]*\)|\{[^}]*\}", " ", pattern))
     return pattern, max(runs, key=len, default="").lower(), conf, version
 
@@ -84,11 +89,12 @@ def fingerprint(pages: DataFrame, rules: DataFrame, implies: DataFrame, aggressi
     s = signals(pages, id_col).where(F.col("channel").isin(use))
     j = s.join(rules, ["channel", "key"]).where((F.col("token") == "") | F.contains(F.lower("value"), F.col("token")))
     hit = j.where(F.expr("rlike(value, concat('(?iu)', pattern))"))
-    ver = F.when(F.contains("version", F.lit("\\1")), F.expr(r"replace(version, '\\1', regexp_extract(value, concat('(?iu)', pattern), 1))")).otherwise(F.col("version"))
+    named = r"aggregate(sequence(1, {}), version, (v, i) -> if(contains(v, concat('\\', i)), replace(v, concat('\\', i), regexp_extract(value, concat('(?iu)', pattern), i)), v))"
+    ver = F.when(F.contains("version", F.lit("\\")), F.expr(named.format(GROUPS))).otherwise(F.col("version"))
     got = hit.withColumn("v", ver).groupBy(id_col, "tech").agg(F.least(F.lit(100), F.sum("confidence")).cast("int").alias("confidence"), F.element_at(F.concat(F.array_sort(F.collect_set(F.nullif("v", F.lit("")))), F.array(F.lit(""))), 1).alias("version"), F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("matched_on"))
     got = materialize(got)
     out, level = got, got.select(id_col, "tech")
-    for _ in range(5):
+    while True:
         level = materialize(level.join(implies, "tech").select(id_col, F.col("implied").alias("tech")).distinct().join(out.select(id_col, "tech"), [id_col, "tech"], "left_anti"))
         if level.isEmpty():
             break

@@ -78,8 +78,6 @@ SQL = {
     "grep_body": "SELECT DISTINCT page_id FROM page_store WHERE contains(lower(html), 'cookie-bar') OR regexp_matches(html, '(?i)og:image')",
     "html_content_type": "SELECT DISTINCT page_id, coalesce(regexp_matches(lower(content_type), 'html|xhtml|xml|svg'), false) AS is_html FROM page_store",
     "revalidation_headers": "SELECT DISTINCT page_id, nullif(coalesce(headers['etag'], headers['ETag']), '') AS if_none_match, nullif(coalesce(headers['last-modified'], headers['Last-Modified']), '') AS if_modified_since FROM page_store WHERE nullif(coalesce(headers['etag'], headers['ETag']), '') IS NOT NULL OR nullif(coalesce(headers['last-modified'], headers['Last-Modified']), '') IS NOT NULL",
-    "contacts_text": r"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS email FROM documents",
-    "simhash_md5": "WITH t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[\\s\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{3000}]+', ' ', 'g')) AS t FROM documents WHERE n_chars <= 400), g AS (SELECT doc_id, substr(t, i::INT, 4) AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(2, length(t) - 2))) AS i FROM t)), h AS (SELECT doc_id, ('0x' || substr(md5(g), 1, 16))::UBIGINT AS h FROM g), v AS (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM h, (SELECT unnest(range(0, 64))::UBIGINT AS b) GROUP BY doc_id, b), f AS (SELECT doc_id, bit_or(CASE WHEN s >= 0 THEN (1::UBIGINT << b) ELSE 0::UBIGINT END)::HUGEINT AS x FROM v GROUP BY doc_id) SELECT doc_id, (CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END)::BIGINT AS fp FROM f",
     "exact_dup_first_seen": "SELECT md5(text) AS md5, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1",
     "title_jaccard": "SELECT doc_id, round(len(list_intersect(t, u))::DOUBLE / greatest(1, len(list_distinct(list_concat(t, u)))), 6) AS jaccard FROM (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(title, '[A-Za-z0-9_]+'), lambda x: lower(x))) AS t, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x))) AS u FROM documents WHERE title IS NOT NULL)",
     "auto_throttle": "SELECT event_type, greatest(10, least(5000, trunc(avg(value) * 0.5)::INT)) AS delay_ms FROM events GROUP BY 1",
@@ -91,11 +89,37 @@ SQL = {
     "json_field_select": "SELECT event_id, props->>'$.k' AS k FROM events",
     "dataset_flatten": "SELECT event_id::VARCHAR AS event_id, coalesce(event_type, '') AS e_event_type, coalesce(user_id::VARCHAR, '') AS e_who_user_id FROM events",
     "quiet_gap_sessions": "WITH x AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS events FROM y GROUP BY user_id, g",
-    "search_union_dedupe": f"WITH x AS (SELECT DISTINCT page_id AS ord, url FROM page_store), u AS (SELECT 0 AS source, * FROM x WHERE ord % 2 = 0 UNION ALL SELECT 1, * FROM x WHERE ord % 3 = 0) SELECT source, ord, url AS link FROM u QUALIFY row_number() OVER (PARTITION BY {_key('url')} ORDER BY source, ord) = 1",
     "search_attach_left_join": "SELECT a.article_id, a.url AS link, p.page_id FROM (SELECT DISTINCT article_id, url FROM article_meta) a LEFT JOIN (SELECT final_url, min(page_id) AS page_id FROM page_store GROUP BY 1) p ON a.url = p.final_url",
     "author_names": r"SELECT DISTINCT author, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(author, '(?i)^\s*by\s+', ''), '\|.*$', ''), '[\[(].*$', ''), '\d+\s*$', '')) AS name FROM article_meta WHERE author IS NOT NULL",
     "tech_search": "SELECT * FROM (VALUES ('Apache', 'https://httpd.apache.org', 'Web servers'), ('Caddy', 'https://caddyserver.com', 'Web servers'), ('Nginx', 'https://nginx.org', 'Web servers')) t(name, website, categories)",
-    "site_traversal": f"WITH RECURSIVE n AS (SELECT key, min(page_id) AS page_id, min(host) AS host FROM (SELECT page_id, host, {_key('url')} AS key FROM page_store) GROUP BY key), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS i FROM n), e AS (SELECT a.key AS src, b.key AS dst FROM r a JOIN r b ON a.host = b.host AND b.i BETWEEN a.i + 1 AND a.i + 4), t AS (SELECT min(key) AS key, 0 AS depth FROM n UNION SELECT e.dst, t.depth + 1 FROM t JOIN e ON t.key = e.src WHERE t.depth < 3) SELECT key, min(depth)::INT AS depth FROM t GROUP BY key",
     "traversal_bench_stats": "SELECT user_id % 4 AS concurrency, count(*) AS samples, round(avg(value), 4) AS avg_seconds, min(value) AS min_seconds, max(value) AS max_seconds, round(median(value), 4) AS median_seconds FROM events GROUP BY 1",
-    "page_metadata": r"WITH p AS (SELECT page_id, html FROM page_store WHERE regexp_matches(html, '(?i)<html') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY url) = 1) SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&#x27;', ''''), '&quot;', '\"'), '&gt;', '>'), '&lt;', '<'), '&amp;', '&') AS title, replace(replace(regexp_extract(html, '<meta name=.description. content=.([^\"]*)\"', 1), '&#x27;', ''''), '&amp;', '&') AS description FROM p",
+}
+
+
+_ONCE = "p AS (SELECT page_id, min(host) AS host, min(url) AS url, min(html) AS html FROM page_store GROUP BY page_id)"
+#: Source without comments and without what scripts, styles and templates hold; start tags by place; entities of attributes and titles.
+_BARE = r"regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '(<(script|style)\b[^>]*>).*?</(?:script|style)\s*>', '\1', 'gsi')"
+_PLAIN = "replace(replace(replace(replace(replace({}, '&#x27;', ''''), '&quot;', '\"'), '&gt;', '>'), '&lt;', '<'), '&amp;', '&')"
+_ABSOLUTE = r"CASE WHEN regexp_matches({0}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {0} WHEN {0} LIKE '/%' THEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') || {0} ELSE {0} END"
+_LINKS = rf"""{_ONCE},
+a AS (SELECT page_id, host, url, unnest(regexp_extract_all({_BARE}, '<a\s[^>]*?href="([^"]*)"', 1, 'i')) AS href, generate_subscripts(regexp_extract_all({_BARE}, '<a\s[^>]*?href="([^"]*)"', 1, 'i'), 1) AS i FROM p),
+l AS (SELECT page_id, host, url, min(i) AS i, regexp_replace(link, '#.*$', '') AS link FROM (SELECT page_id, host, url, i, {_ABSOLUTE.format(_PLAIN.format('trim(href)'))} AS link FROM a) WHERE regexp_matches(link, '^https?://') GROUP BY ALL),
+links AS (SELECT page_id, host, url, link, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM l)"""
+_KEYS = f"keyed AS (SELECT page_id, host, {_key('url')} AS key FROM p)"
+_EDGES = f"e AS (SELECT DISTINCT k.key AS src, d.dst FROM keyed k JOIN (SELECT page_id, {_key('link')} AS dst FROM links) d USING (page_id) WHERE d.dst IS NOT NULL AND k.key <> d.dst AND regexp_extract(k.key, '^[a-z]+://([^/?#]*)', 1) = regexp_extract(d.dst, '^[a-z]+://([^/?#]*)', 1))"
+
+SQL |= {
+    "page_links": f"WITH {_LINKS} SELECT page_id, pos::INT AS pos, link FROM links",
+    "tag_pattern": rf"WITH {_ONCE} SELECT page_id, url, array_to_string(list_transform(regexp_extract_all({_BARE}, '<([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>', 1), lambda x: lower(x)), ',') AS tag_pattern, NULL::VARCHAR AS error FROM p",
+    "link_edges": f"WITH {_LINKS}, {_KEYS}, {_EDGES} SELECT src, dst FROM e",
+    "site_traversal": f"WITH RECURSIVE {_LINKS}, {_KEYS}, {_EDGES}, t AS (SELECT arg_min(key, page_id) AS key, 0 AS depth FROM keyed WHERE key IS NOT NULL GROUP BY host UNION SELECT e.dst, t.depth + 1 FROM t JOIN e ON t.key = e.src WHERE t.depth < 3) SELECT key, min(depth)::INT AS depth FROM t GROUP BY key",
+    "page_metadata": rf"""WITH {_ONCE}, b AS (SELECT page_id, url, {_BARE} AS html FROM p),
+m AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<meta name="description" content="([^"]*)"', 1) AS description, regexp_extract(html, '<meta property="og:image" content="([^"]*)"', 1) AS image, regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1) AS canonical FROM b)
+SELECT page_id, {_PLAIN.format('trim(title)')} AS title, {_PLAIN.format('trim(description)')} AS description, {_ABSOLUTE.format(_PLAIN.format('image'))} AS image, {_PLAIN.format('canonical')} AS canonical_url FROM m""",
+    "search_union_dedupe": f"WITH u AS (SELECT DISTINCT 0 AS source, page_id AS ord, url FROM page_store UNION ALL SELECT DISTINCT 1, article_id, url FROM article_meta) SELECT source, ord, url AS link FROM u QUALIFY row_number() OVER (PARTITION BY {_key('url')} ORDER BY source, ord) = 1",
+    "contacts_text": r"""WITH e AS (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS value FROM documents),
+n AS (SELECT doc_id, 'phone' AS kind, regexp_replace(unnest(regexp_extract_all(text, '\+?\d[\d\s().-]{6,}\d')), '[^0-9+]', '', 'g') AS value FROM documents)
+SELECT DISTINCT * FROM e UNION ALL SELECT DISTINCT * FROM n WHERE length(replace(value, '+', '')) >= 7""",
+    "reading_time": r"SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE greatest(1, round_even(n / 220.0, 0)::INT) END AS minutes FROM (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n FROM documents)",
+    "prefix_rules": r"WITH p AS (SELECT DISTINCT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM page_store) SELECT page_id, CASE WHEN path LIKE '/posts%' THEN '/posts' WHEN path LIKE '/docs/%' THEN '/docs/' WHEN path LIKE '/news/%' THEN '/news/' WHEN path LIKE '/n%' THEN '/n' WHEN path LIKE '/p%' THEN '/p' END AS prefix FROM p",
 }

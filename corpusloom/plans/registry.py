@@ -14,7 +14,7 @@ from corpusloom.operators import ranking, search, similarity, tech, traverse
 from corpusloom.operators.timestamps import normalize_timestamps
 from corpusloom.plans import oracles
 from corpusloom.plans.catalog import CATALOG, SCHEMA
-from corpusloom.session import load
+from corpusloom.session import load, materialize
 from corpusloom.sources import store
 from corpusloom.streaming import events as streams
 
@@ -294,8 +294,8 @@ def _facts(name: str, *fields: str) -> Query:
 
 @query
 def page_metadata(spark: SparkSession, d: str) -> DataFrame:
-    x = pg.page_facts(_pages(spark, d).where(F.col("html").rlike("(?i)<html")), ["metadata"])
-    return x.select("page_id", F.col("metadata.title").alias("title"), F.col("metadata.description").alias("description"))
+    x = pg.page_facts(_pages(spark, d), ["metadata"])
+    return x.select("page_id", *[F.col(f"metadata.{c}").alias(c) for c in ("title", "description", "image", "canonical_url")])
 
 
 @query
@@ -318,6 +318,11 @@ for _name, _fields in {
     "app_state": ("app_state",),
     "feed_candidates": ("feed_candidates",),
     "next_page": ("next_pages",),
+    "content_links": ("content_links",),
+    "clean_html": ("clean_html",),
+    "feed_spider_links": ("feed_spider_links",),
+    "search_results": ("search_results",),
+    "sitemap_hints": ("sitemap_hints",),
 }.items():
     _facts(_name, *_fields)
 
@@ -342,31 +347,81 @@ def tech_search(spark: SparkSession, d: str) -> DataFrame:
     return tech.search_catalog(spark, CATALOG, "server")
 
 
-def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the stored pages: the pages of a host in order, each linked to the four after it."""
-    n = _pages(spark, d).select("page_id", "host", urls.url_key(F.col("url")).alias("key")).where("key is not null")
-    n = n.groupBy("key").agg(F.min("page_id").alias("page_id"), F.min("host").alias("host"))
-    r = n.withColumn("i", F.row_number().over(Window.partitionBy("host").orderBy("page_id")))
-    e = r.select("host", F.col("key").alias("src"), F.posexplode(F.sequence(F.col("i") + 1, F.col("i") + 4)).alias("pos", "i")).join(r.select("host", "i", F.col("key").alias("dst")), ["host", "i"]).select("src", "pos", "dst")
-    return n.select("key"), e
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges of the links on the stored pages, and the pages (page_id, key) themselves."""
+    p = _pages(spark, d)
+    keys = materialize(p.select("page_id", "host", urls.url_key(F.col("url")).alias("key")).where("key is not null"))
+    links = pg.page_facts(p, ["links"]).select("page_id", F.posexplode("links").alias("pos", "link"))
+    nodes, edges = traverse.link_graph(links, keys)
+    return nodes, materialize(edges), keys
+
+
+@query
+def link_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The link graph within hosts, by url keys."""
+    return _graph(spark, d)[1].select("src", "dst")
 
 
 @query
 def site_traversal(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _graph(spark, d)
-    seed = nodes.agg(F.min("key")).first()[0]
-    return traverse.traverse(nodes, edges, [seed], max_pages=10_000, max_depth=3).select("key", "depth")
+    """What is reached from every host's first stored page, three links deep."""
+    nodes, edges, keys = _graph(spark, d)
+    seeds = keys.groupBy("host").agg(F.min_by("key", F.struct("page_id", "key")).alias("key")).select("key")
+    return traverse.traverse(nodes, edges, seeds, max_depth=3).select("key", "depth")
 
 
 @query
 def map_site(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _graph(spark, d)
-    seed = nodes.agg(F.min("key")).first()[0]
-    reached = traverse.traverse(nodes, edges, [seed], max_pages=60, max_depth=4, strategy="best", query="notes", batch=20)
+    nodes, edges, keys = _graph(spark, d)
+    reached = traverse.traverse(nodes, edges, keys.select("key"), max_pages=2000, max_depth=2, strategy="best", query="notes", batch=1000)
     p = _pages(spark, d).select(urls.url_key(F.col("url")).alias("key"), "url", F.regexp_extract("html", r"<title>([^<]*)", 1).alias("title"), F.lit("").alias("description"))
     return traverse.map_site(reached, p, "notes", 50)
 
 
+@query
+def scrape(spark: SparkSession, d: str) -> DataFrame:
+    """A stored page as one result: status, facts, content as markdown, content links and block reason."""
+    p = _pages(spark, d)
+    facts = pg.page_facts(p, ["metadata", "content_links", "markdown"]).drop("url")
+    reason = fetching.block_reason(F.col("status_code"), F.col("html"), F.col("headers")["server"])
+    return p.select("page_id", "url", "final_url", "status_code", "mode", reason.alias("block_reason")).join(facts, "page_id")
+
+
+@query
+def query_page(spark: SparkSession, d: str) -> DataFrame:
+    """The best chunks of every page's content for a question."""
+    text = pg.page_facts(_pages(spark, d), ["text"]).select("page_id", "text")
+    return ranking.rank_chunks(text, "mirror harbour ledger", "sliding", k=3, id_col="page_id")
+
+
+@query
+def research_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The best chunks over the pages that a search of the addresses ranks first."""
+    p = _pages(spark, d).where("html is not null")
+    top = p.select("page_id", "url", "html", urls.url_score(F.col("url"), "notes guides").alias("score")).orderBy(F.desc("score"), "page_id").limit(20)
+    rank = materialize(top.select("page_id", F.row_number().over(Window.orderBy(F.desc("score"), "page_id")).alias("source_rank")))
+    text = pg.page_facts(p.join(F.broadcast(rank), "page_id"), ["text"]).select("page_id", "text").join(rank, "page_id")
+    return search.research(text.select("source_rank", "text"), "mirror harbour ledger")
+
+
+@query
+def feeds_by_host(spark: SparkSession, d: str) -> DataFrame:
+    """Feed addresses of every host over all of its pages: best score, pages that name it, and whether it is stored as a feed."""
+    c = pg.page_facts(_pages(spark, d), ["feed_candidates"]).select("page_id", F.explode("feed_candidates").alias("c")).select("page_id", "c.url", "c.score")
+    c = c.withColumn("key", urls.url_key(F.col("url"))).where("key is not null")
+    stored = pg.feed_documents(_pages(spark, d)).select(urls.url_key(F.col("url")).alias("key"), "feed_format").groupBy("key").agg(F.min("feed_format").alias("feed_format"))
+    one = c.groupBy("key").agg(F.min("url").alias("url"), F.max("score").alias("score"), F.count_distinct("page_id").alias("pages"))
+    return one.join(stored, "key", "left").select(urls.url_parts(F.col("key"))["host"].alias("host"), "url", "score", "pages", "feed_format")
+
+
+@query
+def prefix_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The longest of a table's path prefixes that every page's path begins with."""
+    p = _pages(spark, d).select("page_id", urls.url_parts(F.col("url"))["path"].alias("path"))
+    rules = spark.createDataFrame([("/p",), ("/posts",), ("/docs/",), ("/news/",), ("/n",)], "prefix string")
+    return ranking.longest_prefix(p, rules).select("page_id", "prefix")
+
+
 @query
 def traversal_bench_stats(spark: SparkSession, d: str) -> DataFrame:
     x = load(spark, d, "events").select(F.pmod("user_id", F.lit(4)).alias("concurrency"), "value")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: A side is broadcast only when its measured size stays under this many bytes.
@@ -23,6 +23,7 @@ def get_spark(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     base.update({k.replace("__", "."): v for k, v in conf.items()})
     return b.config(map=base).getOrCreate()
@@ -36,8 +37,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by spark.checkpoint.dir.
 
-    A cluster sets spark.checkpoint.dir to a folder that all executors share; a local folder is made only where that is
-    unset, as in tests.
+    A cluster sets spark.checkpoint.dir to a folder that all executors share. Where that is unset, a session in one
+    process, as in tests, gets a folder of its own that ends with it; any other session is an error.
     """
     sc = spark.sparkContext
     have = sc.getConf().get("spark.checkpoint.dir")
@@ -45,7 +46,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     if not have:
-        have = os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        have = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, have, ignore_errors=True)
     sc.setCheckpointDir(have)
     return have
 
@@ -54,8 +58,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """df written once to the shared checkpoint folder, so that several later stages read it and a lost executor costs no rerun."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """df cached with spill to disk, for reuse within one query; it is recomputed where an executor is lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
