@@ -19,7 +19,6 @@ _BLANK = re.compile(r"[\ufeff\s]*")
 _NO_PAGE = re.compile(r"<\?xml(?![^>]*>\s*(?:<!--.*?-->\s*)*<(?:!doctype\s+)?html\b)|<rss|<feed|<rdf|[{\[]", re.I | re.S)
 _PAGE_TAG = re.compile(r"<(?:html|body|p|div|h1|table)\b", re.I)
 _WORD = re.compile(r"[^\W_]+")
-_GAP = re.compile(r"[\W_]+")
 _DIGITS = re.compile(r"[0-9]+")
 #: Characters up to which words of the host's name are masked in a line, so that it is the same line on another host.
 LONG = 160
@@ -260,10 +259,10 @@ def squeeze_host(host: str | None) -> str:
 
 
 def key_text(text: str, host: str) -> str:
-    """Line key for repetition counts: words joined by a blank, runs of digits as 0, and in lines of up to LONG characters words of the host's name masked."""
+    """Line key for repetition counts: words joined by a blank, runs of digits as 0, words of the host's name masked. Text beyond LONG characters keeps its punctuation and the host's name."""
     low = _DIGITS.sub("0", text.lower())
     if len(low) > LONG:
-        return _GAP.sub(" ", low).strip()
+        return " ".join(low.replace("*", "").replace("_", " ").replace("`", "").split())
     return " ".join(["%" if len(w) > 2 and w in host else w for w in _WORD.findall(low)])
 
 

@@ -33,7 +33,7 @@ def block_keys(b: Block, host: str) -> list[int]:
         return []
     b.key = key_hash(text)
     keys = [b.key]
-    if b.tag in ("p", "quote", "text") and not _END.search(b.text[-24:]) and (m := _PREFIX.match(b.text)):
+    if b.tag in ("p", "quote", "text") and ":" in b.text and not _END.search(b.text[-24:]) and (m := _PREFIX.match(b.text)):
         keys.append(key_hash(key_text(m.group(1), host) + " :"))
     return keys
 
@@ -166,7 +166,9 @@ def structure(blocks: list[Block], boxes: list[tuple[str, int]], kind: str, host
             text = b.text.strip("*_ \t\n")
             if not text:
                 pass
-            elif b.tag in ("p", "text", "quote") and (_CRUMB.match(text) or _BAR.match(text)):
+            elif b.tag in ("p", "text", "quote") and (
+                (">" in text or "»" in text or "›" in text) and _CRUMB.match(text) or ("|" in text or "·" in text or "•" in text) and _BAR.match(text)
+            ):
                 hide = True
             elif b.tag in ("p", "text") and first is not None and i == first + 1 and text.count(" ") < 14 and "\n" not in text and (
                 not _END.search(text[-24:]) or _INITIAL.search(text) or b.attr or text.count(" ") < 6 and _BYLINE.match(text)
