@@ -29,14 +29,16 @@ def repeated_keys(keys: DataFrame) -> DataFrame:
     and a hot host is spread over (kind, host, key). The low byte of a key is its number of words by four; longer lines
     need more titles, in proportion. Null hosts are one host.
     """
-    flat = keys.select("kind", "host", "title", F.explode("keys").alias("key")).where("key <> 0")
-    n = flat.distinct().groupBy("kind", "host", "key").agg(F.count("*").alias("n"))
-    total = keys.select("kind", "host", "title").distinct().groupBy("kind", "host").agg(F.count("*").alias("total"))
+    at = F.xxhash64("kind", F.coalesce("host", F.lit("\0"))).alias("at")  # three numbers a row are shuffled, no names
+    flat = keys.select(at, "title", F.explode("keys").alias("key")).where("key <> 0")
+    n = flat.distinct().groupBy("at", "key").agg(F.count("*").alias("n"))
+    total = keys.select("kind", "host", at, "title").distinct().groupBy("kind", "host", "at").agg(F.count("*").alias("total"))
     more = 1 + F.greatest(F.lit(0.0), F.col("key").bitwiseAND(F.lit(255)) * 4.0 / LONG_WORDS - 1)
     enough = (F.col("n") >= F.least(MIN_TITLES * more, F.col("total") * MOST)) & (F.col("n") >= F.col("total") * F.least(MIN_SHARE * more, F.lit(MOST)))
-    often = n.where(F.col("n") >= MIN_TITLES).join(total, ["kind", "host"]).where(enough).select("kind", "host", "key")
+    often = n.where(F.col("n") >= MIN_TITLES).join(total, "at").where(enough).select("kind", "host", "key")
     known = often.groupBy("kind", "key").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= MIN_HOSTS).select("kind", "key")
-    return often.unionByName(n.join(known, ["kind", "key"], "left_semi").select("kind", "host", "key")).distinct()
+    elsewhere = n.join(known, "key").join(total.select("kind", "host", "at"), ["at", "kind"]).select("kind", "host", "key")
+    return often.unionByName(elsewhere).distinct()
 
 
 def content_paths(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -69,7 +71,7 @@ def page_words(pages: DataFrame) -> DataFrame:
     def words(page, form):  # noqa: ANN001, ANN202
         w, at = word_hashes([b.text for b in page.blocks])
         counts = np.bincount(at, minlength=len(page.blocks)).astype(np.int32)
-        return counts.tobytes(), w.astype(np.uint32).tobytes()
+        return counts.tobytes(), zlib.compress(w.astype(np.uint32).tobytes(), 1)
 
     return page_layouts(pages, "counts binary, words binary", words)
 
@@ -135,7 +137,7 @@ def near_duplicates(pages: DataFrame, threshold: float = 0.8, width: int = 5, mi
 
     def body(kind, cells, counts, words, freq, content):  # noqa: ANN001, ANN202
         shown = ~np.array(hidden(kind, cells, freq, content), np.bool_)
-        w = np.frombuffer(words, np.uint32)
+        w = np.frombuffer(zlib.decompress(words), np.uint32)
         return w[np.repeat(shown, np.frombuffer(counts, np.int32))] if len(shown) else w
 
     def signed(kind, rid, *rest):  # noqa: ANN001, ANN202
