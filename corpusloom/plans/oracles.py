@@ -122,4 +122,11 @@ n AS (SELECT doc_id, 'phone' AS kind, regexp_replace(unnest(regexp_extract_all(t
 SELECT DISTINCT * FROM e UNION ALL SELECT DISTINCT * FROM n WHERE length(replace(value, '+', '')) >= 7""",
     "reading_time": r"SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE greatest(1, round_even(n / 220.0, 0)::INT) END AS minutes FROM (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n FROM documents)",
     "prefix_rules": r"WITH p AS (SELECT DISTINCT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM page_store) SELECT page_id, CASE WHEN path LIKE '/posts%' THEN '/posts' WHEN path LIKE '/docs/%' THEN '/docs/' WHEN path LIKE '/news/%' THEN '/news/' WHEN path LIKE '/n%' THEN '/n' WHEN path LIKE '/p%' THEN '/p' END AS prefix FROM p",
+    "retry_after": "WITH p AS (SELECT page_id, any_value(headers) AS h FROM page_store GROUP BY page_id) SELECT page_id, greatest(0, try_cast(trim(coalesce(h['retry-after'], h['Retry-After'])) AS DOUBLE) * 1000)::BIGINT AS wait_ms FROM (SELECT page_id, h FROM p)",
+    "fragments_stripped": r"SELECT DISTINCT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)(\?|$)', '\1/\2') AS url FROM page_store",
+    "merged_headers": "SELECT DISTINCT page_id, (coalesce(len(list_filter(map_keys(headers), lambda k: k NOT IN ('accept', 'server'))), 0) + 2)::INT AS n, 'text/html' AS accept, 'own' AS server FROM page_store",
+    "template_rows": "SELECT DISTINCT page_id, coalesce(host, '') || '/' || coalesce(mode, '') || '-' || coalesce(status_code::VARCHAR, '') || '.txt' AS name FROM page_store",
+    "event_windows": "SELECT time_bucket(INTERVAL '5 minutes', ts::TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "event_pairs": "SELECT a.event_id, b.event_id AS finish_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL '10 minutes'",
+    "robots_rules": "SELECT DISTINCT url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) NOT LIKE '/news/%' AS allowed, 2.0::DOUBLE AS delay FROM page_store",
 }

@@ -362,6 +362,62 @@ def link_edges(spark: SparkSession, d: str) -> DataFrame:
     return _graph(spark, d)[1].select("src", "dst")
 
 
+@query
+def retry_after(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("page_id", fetching.retry_after_ms(F.col("headers")).alias("wait_ms"))
+
+
+@query
+def fragments_stripped(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "page_store").select("page_id", urls.strip_fragment(F.col("url")).alias("url")).distinct()
+
+
+@query
+def merged_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Stored headers with two of a client put over them."""
+    extra = F.create_map(F.lit("accept"), F.lit("text/html"), F.lit("server"), F.lit("own"))
+    m = store.merge_headers(F.col("headers"), extra)
+    return _pages(spark, d).select("page_id", F.size(m).alias("n"), m["accept"].alias("accept"), m["server"].alias("server"))
+
+
+@query
+def template_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("page_id", store.render_template("{{ host }}/{{mode}}-{{ status_code }}.txt").alias("name"))
+
+
+@query
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    x = load(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return streams.windowed_counts(x).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query
+def event_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each event of a user with the events of that user in the ten minutes after it, itself among them."""
+    x = load(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    y = x.select("user_id", "ts", F.col("event_id").alias("finish_id"))
+    return streams.pair_events(x, y, key="user_id").select("event_id", "finish_id")
+
+
+@query
+def robots_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a fixed set of rules lets an agent fetch every stored page."""
+    text = "User-agent: *\nDisallow: /news/\nCrawl-delay: 2\n"
+    x = load(spark, d, "page_store").select("host", "url").distinct()
+    rules = x.select("host").distinct().select("host", F.lit(text).alias("text"))
+    return pg.allowed_by_robots(x, rules).select("url", "allowed", "delay").distinct()
+
+
+@query
+def pagination_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The pages that continue every stored page, at most three."""
+    p = _pages(spark, d)
+    keys = materialize(p.select("page_id", urls.url_key(F.col("url")).alias("key")).where("key is not null"))
+    nxt = pg.page_facts(p, ["next_pages"]).select("page_id", F.explode("next_pages").alias("n")).select("page_id", urls.url_key(F.col("n.url")).alias("dst"), F.col("n.score").alias("score"))
+    edges = nxt.join(keys, "page_id").select(F.col("key").alias("src"), "dst", "score").where("dst is not null")
+    return traverse.follow_pagination(keys.select("key"), edges, keys.select("key").distinct(), 3)
+
+
 @query
 def site_traversal(spark: SparkSession, d: str) -> DataFrame:
     """What is reached from every host's first stored page, three links deep."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,18 +19,22 @@ def cache_latest(writes: DataFrame, keys: tuple[str, ...] = ("url", "mode"), tim
     return writes.groupBy(*keys).agg(F.max_by(F.struct(*rest), o).alias("_x")).select(*keys, *[F.col("_x")[c].alias(c) for c in rest])
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """(file system, maker of paths) of a path on any storage the cluster reads."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
 def cache_upsert(spark: SparkSession, path: str, writes: DataFrame, **kw: str) -> None:
-    """Writes into the cache table at path by a new version beside the old one, which a reader keeps until the swap."""
-    have = spark.read.parquet(path) if os.path.exists(path) else None
+    """Writes into the cache table at path by a new version beside the old one, which a reader keeps until the swap. The storage is the cluster's."""
+    fs, at = _files(spark, path)
+    have = spark.read.parquet(path) if fs.exists(at(path)) else None
     new = cache_latest(writes if have is None else have.unionByName(writes, allowMissingColumns=True), **kw)
     new.write.mode("overwrite").parquet(path + ".new")
     if have is not None:
-        os.replace(path, path + ".old")
-    os.replace(path + ".new", path)
-    if have is not None:
-        import shutil
-
-        shutil.rmtree(path + ".old")
+        fs.rename(at(path), at(path + ".old"))
+    fs.rename(at(path + ".new"), at(path))
+    fs.delete(at(path + ".old"), True)
 
 
 def fresh(fetched_at: Column, now: Column, ttl_seconds: int | None) -> Column:
@@ -124,16 +127,19 @@ def store_fields(df: DataFrame, path: str, host: str = "host") -> None:
     df.write.mode("append").partitionBy(host).text(path)
 
 
-def save_state(path: str, payload: dict) -> None:
-    """A manifest beside checkpointed tables, written whole or not at all."""
-    tmp = path + ".tmp"
-    with open(tmp, "w") as f:
-        json.dump(payload, f)
-    os.replace(tmp, path)
+def save_state(spark: SparkSession, path: str, payload: dict) -> None:
+    """A manifest beside checkpointed tables, written whole or not at all, on the cluster's storage."""
+    fs, at = _files(spark, path)
+    out = fs.create(at(path + ".tmp"), True)
+    out.write(bytearray(json.dumps(payload).encode()))
+    out.close()
+    fs.delete(at(path), False)
+    fs.rename(at(path + ".tmp"), at(path))
 
 
-def load_state(path: str) -> dict | None:
-    return json.load(open(path)) if os.path.exists(path) else None
+def load_state(spark: SparkSession, path: str) -> dict | None:
+    fs, at = _files(spark, path)
+    return json.loads(spark.read.text(path, wholetext=True).first()[0]) if fs.exists(at(path)) else None
 
 
 # Words for true, and values of the cookie attribute.
