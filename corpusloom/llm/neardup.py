@@ -90,7 +90,9 @@ def _candidates(reps: DataFrame, least: float) -> DataFrame:
     bands = reps.select("body", F.explode(_bands("registers")).alias("h"))
     n = materialize(bands.groupBy("h").agg(F.count("*").alias("c"), F.min("body").alias("a"), F.max("body").alias("b")).where("c > 1"))
     two = n.where("c = 2").select("a", "b")
-    more = bands.join(n.where(F.col("c").between(3, BLOCK)).select("h"), "h", "left_semi")
+    some, large = n.agg(F.count_if(F.col("c").between(3, BLOCK)), F.count_if(F.col("c") > BLOCK)).first()
+    wanted = n.where(F.col("c").between(3, BLOCK)).select("h")
+    more = bands.join(F.broadcast(wanted) if some * 48 <= BROADCAST_LIMIT else wanted, "h", "left_semi")
     x, y = more.alias("x"), more.alias("y")
     many = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.body") < F.col("y.body"))).select(F.col("x.body").alias("a"), F.col("y.body").alias("b"))
     few = two.unionByName(many).distinct().join(_registers(reps, "a"), "a").join(_registers(reps, "b"), "b")
@@ -101,6 +103,8 @@ def _candidates(reps: DataFrame, least: float) -> DataFrame:
         return [(a, b)] if estimate(np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16), na, nb) >= least else []
 
     few = map_rows(few.select("a", "b", "na", "nb", "ra", "rb"), "a long, b long", near)
+    if not large:
+        return few
     hot = bands.join(n.where(F.col("c") > BLOCK).select("h", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts")), "h")
     hot = hot.withColumn("part", F.pmod(F.xxhash64("body"), F.col("parts")).cast("int")).join(reps.select("body", "size", "registers"), "body")
     block = hot.groupBy("h", "part").agg(F.array_sort(F.collect_list(F.struct("body", "size", "registers"))).alias("rows"))
