@@ -29,7 +29,7 @@ _EN = [
     "Ring {p} after lunch.", "Mobile {p}", "Tel: {p}", "T {p} / F {p}", "Our number is {p}, ask for {n}.", "Text {p} to cancel.", "{p}", "Reach {n} on {p} or at {e}.", "Emergency line {p} is staffed all night.", "Leave a message on {p}.", "Phone {p}; mail {e}.",
     "Passport {i} expired.", "The clerk copied SSN {i} into the file.", "Her passport number was {i}.", "Tax ID: {i}", "Licence {i} belongs to {n}.", "{n} carries residence card {i}.", "National insurance no. {i}", "He showed us card {i} and left.", "Insured under {i} since birth.", "Permit no. {i} was revoked.", "Holder {n}, document {i}, phone {p}.", "{n}, holder of {i}, was late.", "with document {i}.",
     "The parcel for {n} went to {a}.", "We moved to {a} in spring.", "{a}", "Address: {a}", "Visit us at {a}!", "{n} rents a room at {a}.", "Invoices: {n}, {a}.", "Meet me outside {a}.", "Home: {a}; work: {a}", "Return to {a}, please.", "The will of {n}, late of {a}, was read.", "He lived at {a} and his number was {i}.", "Deliver to {n}, {a}, and phone {p}.",
-    "Nobody told {n}.", "We gave {n} a {word}.", "I sent {n} the {word} by boat.", "Let {n} a room.", "Give {n} {d2} {word}s.", "I met {n} a week ago.", "They showed {n} a {word} in {town}.", "Call {p} and wait.", "Dial {p} today.", "I texted {p} twice.", "{doc} {i} is lost.", "My {doc} {i} got wet.", "She sold {doc} {i}?", "His {doc} was {i}, I think.", "Go to {a} at noon.", "We left {a} in haste.", "The flat at {a} is cold.", "Leave it at {a}.", "Before that, {n} ran a bakery.", "In {town}, {n} met {n}.", "Was it {n} who called?", "As {n} put it, rain is likely.", "“I never saw it,” said {n}.", "The letter from {n} arrived.", "{n} said no.", "says {n} of {firm}.", "Posted by {n} on {day}", "{n} wrote back from {town}.", "Contact {n}.", "Contact {n}: {e}.", "Contact {n} or {n} first.", "Dear {n}, the {word} is yours.", "Ask Dr. {n} or Mrs. {n}.", "Mr. {n} and {n} agreed.", "The {word} goes to {n} now.", "Has {n} paid for {make}?", "{n} of {firm} left {town}.", "{n} and {n} ran {make} for years.",
+    "Nobody told {n}.", "We gave {n} a {word}.", "I sent {n} the {word} by boat.", "Let {n} a room.", "Give {n} {d2} {word}s.", "I met {n} a week ago.", "They showed {n} a {word} in {town}.", "Call {p} and wait.", "Dial {p} today.", "I texted {p} twice.", "{doc} {i} is lost.", "My {doc} {i} got wet.", "She sold {doc} {i}?", "His {doc} was {i}, I think.", "Go to {a} at noon.", "We left {a} in haste.", "The flat at {a} is cold.", "Leave it at {a}.", "Before that, {n} ran a bakery.", "In {town}, {n} met {n}.", "Was it {n} who called?", "As {n} put it, rain is likely.", "“I never saw it,” said {n}.", "The letter from {n} arrived.", "{n} said no.", "says {n} of {firm}.", "Posted by {n} on {day}", "{n} wrote back from {town}.", "Contact {n}.", "Contact {n} for the {word}.", "Contact {n} for {word}s.", "Contact {n}: {e}.", "Contact {n} or {n} first.", "Dear {n}, the {word} is yours.", "Ask Dr. {n} or Mrs. {n}.", "Mr. {n} and {n} agreed.", "The {word} goes to {n} now.", "Has {n} paid for {make}?", "{n} of {firm} left {town}.", "{n} and {n} ran {make} for years.",
     "{n} has {doc} {i}.", "{n} quoted {doc} {i}.", "{n} presented {doc} {i} today.", "{doc} {i}, issued in {town}", "Bring {doc} {i} along.", "His {doc}, {i}, is blocked.", "We need {doc} {i} for {n}.", "{n} moved to {a}; {doc} {i}.", "under {doc} {i}. {make} is slow.", "{doc}: {i}", "the {doc} {i} of {n}",
     "or dial {p}.", "It rings on {p} until ten.", "{n} answers {p} and {e}.", "Try {p}, then {p}.", "or call {p}. {n} knows.", "At {a}, ring twice.", "{a}: two rooms", "{n}, {a}, {town}", "Parcels for {a} wait.", "{n} lives near {a} with {n}.", "Take {doc} {i} to {a}.", "{n} of {a} showed {doc} {i}.", "{n} showed {doc} {i} at noon.", "{n} needs the {doc} {i}.", "Check: {doc} {i}, tel. {p}.", "{n} (of {town}) showed {doc} {i} at ten.", "for {n} the {doc} {i}. {make} is slow.", "tel {p}", "tel {p}; {make}", "-- {n}", "{n}; {a}; tel {p}", "{n} stays at {a} and has {doc} {i}.", "stays at {a} and has {doc} {i}.", "{doc} {i}; tel. {p}.", "{doc} {i}, tel. {p}, mail {e}.", "{n} (from {town}) has {doc} {i} with her.", "A loan for {n} calls for {doc} {i}.", "{n}", "{n}", "mail {e} by {day}.", "{e} by noon.", "{n}: {doc} {i}", "Interview with {n}: part {d1}",
 ]
@@ -67,7 +67,7 @@ _DSTREETS = "Kupfergasse|Lerchenstraße|Ahornweg|Turmstraße|Am Brunnen|Rosenall
 _FSTREETS = "rue des Lilas|allée des Cerisiers|avenue du Moulin|place de l'Horloge|chemin du Lavoir|quai des Brumes|boulevard Carnot|impasse du Puits|route de Beaune|cours Lafitte|rue Pasteur|passage Vendôme".split("|")
 _SSTREETS = "Calle de la Fuente|Avenida del Olivo|Plaza Nueva|Calle Cervantes|Paseo del Prado Viejo|Camino de las Eras|Calle del Pozo|Pasaje Aurora|Travesía de la Cruz|Plaza del Carmen".split("|")
 _FIRMS = "Birch & Sons|Norwell Partners|Kite Brothers|Amber Textiles|Pinecone Software|Lakeview Dairy|Grand Union Bakers|Silver Fox Films|Oak Tree Insurance|Red Kettle Coffee".split("|")
-_SURNAMES = "Abbott Ackermann Alvarez Baker Barreto Bauer Becker Bennett Blanchard Bouvier Brandt Carter Castillo Chevalier Cohen Cooper Delacroix Dietrich Dominguez Duval Eriksson Faber Fischer Fontaine Foster Fuentes Garnier Gomez Graham Gruber Hartmann Herrera Hoffmann Hughes Iglesias Jensen Kovacs Krüger Lambert Larsen Lefebvre Lindqvist Lorenz Marchand Mendez Mercier Morris Müller Navarro Neumann Nowak Okafor Olsen Ortega Parker Petrov Pfeiffer Quinn Ramirez Renard Ritter Romero Rossi Roussel Sanders Schäfer Schneider Serrano Silva Stewart Suarez Tanaka Thompson Turner Ufer Vidal Vogel Wagner Walker Weber Wright Yilmaz Zapata Zimmermann".split()
+_SURNAMES = "Lee Kim Fox Rey Roy Liu Vos Kos Dub Bák Šír Abbott Ackermann Alvarez Baker Barreto Bauer Becker Bennett Blanchard Bouvier Brandt Carter Castillo Chevalier Cohen Cooper Delacroix Dietrich Dominguez Duval Eriksson Faber Fischer Fontaine Foster Fuentes Garnier Gomez Graham Gruber Hartmann Herrera Hoffmann Hughes Iglesias Jensen Kovacs Krüger Lambert Larsen Lefebvre Lindqvist Lorenz Marchand Mendez Mercier Morris Müller Navarro Neumann Nowak Okafor Olsen Ortega Parker Petrov Pfeiffer Quinn Ramirez Renard Ritter Romero Rossi Roussel Sanders Schäfer Schneider Serrano Silva Stewart Suarez Tanaka Thompson Turner Ufer Vidal Vogel Wagner Walker Weber Wright Yilmaz Zapata Zimmermann".split()
 _DOCS = "passport|national ID|social number|social security number|tax number|tax ID|permit|residence permit|ID card|ID|insurance number|licence|driving licence|passport number|identity card|national insurance number".split("|")
 _ENDINGS = "ix os ify ado ino era una exo ium ora ible ario umo esta".split()
 
